@@ -82,8 +82,16 @@ CATEGORICAL_COLUMNS = ("cliente_edad", "Master_cuenta_estado", "Visa_cuenta_esta
 # --- end of fixed values ------------------------------------------------------
 
 
-def _ddl(text: str, prefix: str = "") -> str:
-    return ", ".join(prefix + " ".join(part.split()) for part in text.split(","))
+_TYPES = {
+    "int": T.IntegerType(), "bigint": T.LongType(), "double": T.DoubleType(),
+    "string": T.StringType(), "timestamp": T.TimestampType(),
+}
+
+
+def struct_of(text: str, prefix: str = "") -> T.StructType:
+    """Schema of a ``name type`` list; unlike ``fromDDL`` it needs no running session."""
+    fields = [part.split() for part in text.split(",")]
+    return T.StructType([T.StructField(prefix + name, _TYPES[kind]) for name, kind in fields])
 
 
 def snapshot_schema() -> T.StructType:
@@ -91,10 +99,10 @@ def snapshot_schema() -> T.StructType:
     groups = [
         KEY_COLUMNS, CLIENT_COLUMNS, ACCOUNT_COLUMNS, LOAN_COLUMNS, PAYMENT_COLUMNS, FEE_COLUMNS, CHANNEL_COLUMNS,
     ]
-    parts = [_ddl(g) for g in groups]
-    parts += [_ddl(CARD_COLUMNS, prefix) for prefix in ("Master_", "Visa_")]
-    parts.append(LABEL_COLUMNS)
-    return T.StructType.fromDDL(", ".join(parts))
+    parts = [struct_of(g) for g in groups]
+    parts += [struct_of(CARD_COLUMNS, prefix) for prefix in ("Master_", "Visa_")]
+    parts.append(struct_of(LABEL_COLUMNS))
+    return T.StructType([field for part in parts for field in part.fields])
 
 
 def subset_schema(columns: list[str]) -> T.StructType:
@@ -103,15 +111,15 @@ def subset_schema(columns: list[str]) -> T.StructType:
     return T.StructType([full[c] for c in columns])
 
 
-PLANS = T.StructType.fromDDL("id int, train string, test string, finished timestamp")
-PLAN_EVENTS = T.StructType.fromDDL("id int, finished timestamp")
-EXPERIMENTS = T.StructType.fromDDL(
+PLANS = struct_of("id int, train string, test string, finished timestamp")
+PLAN_EVENTS = struct_of("id int, finished timestamp")
+EXPERIMENTS = struct_of(
     "id bigint, experiment_code string, minutes_taken double, profit double, profit_0025 double, "
     "auc_testing double, logloss_testing double, auc_training double, logloss_training double, "
     "perfect_profit_ratio double, perfect_profit_ratio_0025 double, cutoff double, algorithm string, "
     "estimation string, train_periods string, test_periods string, observation string, "
     "finished timestamp, plan_id int"
 )
-HYPERPARAMS = T.StructType.fromDDL("experiment_id bigint, name string, value string")
-PREDICTIONS = T.StructType.fromDDL("X bigint, prob double, class int")
-NEW_PREDICTIONS = T.StructType.fromDDL("X bigint, prob double")
+HYPERPARAMS = struct_of("experiment_id bigint, name string, value string")
+PREDICTIONS = struct_of("X bigint, prob double, class int")
+NEW_PREDICTIONS = struct_of("X bigint, prob double")
