@@ -170,7 +170,7 @@ def trend_category(acceleration: Column, growth: Column) -> Column:
 
 def trend_relative(y: Sequence[Column]) -> Column:
     """Relative fall against the month before; null if that was 0."""
-    return safe_div(-(y[3] - y[2]), y[2])
+    return safe_div(y[2] - y[3], y[2])
 
 
 def salary_flag(y: Sequence[Column]) -> Column:
