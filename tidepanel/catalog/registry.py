@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from tidepanel.catalog import panels
+from tidepanel.catalog import panels, scalars
 from tidepanel.catalog.views import Query
 
-_GROUPS = (panels,)
+_GROUPS = (scalars, panels)
 
 
 def registry() -> dict[str, Query]:
