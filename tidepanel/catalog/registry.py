@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from tidepanel.catalog import panels, scalars
+from tidepanel.catalog import learning, panels, relations, scalars, storage
 from tidepanel.catalog.views import Query
 
-_GROUPS = (scalars, panels)
+_GROUPS = (storage, scalars, relations, panels, learning)
 
 
 def registry() -> dict[str, Query]:

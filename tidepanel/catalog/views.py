@@ -124,7 +124,7 @@ def experiments(spark: SparkSession, sf: str) -> DataFrame:
         cents("o_totalprice").cast("double").alias("profit"),
         ((key * 13 + F.col("o_custkey") * 37) % 1000 / F.lit(1000.0) + F.lit(0.125)).alias("logloss_testing"),
         ((key * 17 + F.col("o_custkey")) % 101 / F.lit(128.0)).alias("perfect_profit_ratio"),
-        ((key * 31) % 101 / F.lit(1000.0)).alias("cutoff"),
+        ((key * 31) % 101 / F.lit(1024.0)).alias("cutoff"),
         before.alias("train_periods"),
         period.cast("string").alias("test_periods"),
     )
@@ -136,7 +136,7 @@ EXPERIMENTS = """experiments AS (
          CAST(CAST(round(o_totalprice * 100) AS BIGINT) AS DOUBLE) AS profit,
          (o_orderkey * 13 + o_custkey * 37) % 1000 / 1000.0::DOUBLE + 0.125::DOUBLE AS logloss_testing,
          (o_orderkey * 17 + o_custkey) % 101 / 128.0::DOUBLE AS perfect_profit_ratio,
-         (o_orderkey * 31) % 101 / 1000.0::DOUBLE AS cutoff,
+         (o_orderkey * 31) % 101 / 1024.0::DOUBLE AS cutoff,
          strftime(o_orderdate - INTERVAL 2 MONTH, '%Y%m') AS train_periods,
          CAST(year(o_orderdate) * 100 + month(o_orderdate) AS VARCHAR) AS test_periods
   FROM orders)"""

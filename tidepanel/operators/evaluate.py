@@ -177,11 +177,13 @@ def logloss(df: DataFrame, prob: str = "prob", label: str = "class", eps: float
     return df.groupBy(*by).agg(F.avg(logloss_term(F.col(prob), F.col(label), eps)).alias("logloss"))
 
 
-def metrics_over_repeats(trials: DataFrame, trial: str, means: Sequence[str], total: str, digits: int = 5) -> DataFrame:
+def metrics_over_repeats(trials: DataFrame, trial: str, means: Sequence[str], total: str, digits: int | None = 5) -> DataFrame:
     """Mean of each metric over the repeats of a trial, and the time they took together."""
-    return trials.groupBy(trial).agg(
-        *[F.round(F.avg(c), digits).alias(c) for c in means], F.round(F.sum(total), 2).alias(total)
-    )
+
+    def mean(c: str) -> Column:
+        return F.avg(c) if digits is None else F.round(F.avg(c), digits)
+
+    return trials.groupBy(trial).agg(*[mean(c).alias(c) for c in means], F.round(F.sum(total), 2).alias(total))
 
 
 def fold_metrics(df: DataFrame, fold: str = "fold", id: str = "id", prob: str = "prob", label: str = "class", gain: int = GAIN, cost: int = COST) -> DataFrame:
