@@ -10,13 +10,12 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import dataclass, replace
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidepanel.functions.columns import fill_zero, no_nan, safe_div, sign
+from tidepanel.functions.columns import safe_div
 from tidepanel.functions.periods import month_index, period_of_index, periods_needed
 
 # Suffixes of the feature names.
@@ -71,8 +70,14 @@ def monthly(df: DataFrame, key: str, period: str, measures: Mapping[str, Column]
     return df.groupBy(key, period).agg(*[c.alias(name) for name, c in measures.items()])
 
 
-def _lagged(column: str, months: int) -> str:
-    return f"{column}__y{BACKWARD - months}"
+def _q(name: str) -> str:
+    """A column name quoted for use in an expression text."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def _known(text: str) -> str:
+    """The value as double, null if it is missing or NaN."""
+    return f"nanvl(cast({text} AS double), cast(NULL AS double))"
 
 
 def panel_lags(
@@ -81,141 +86,121 @@ def panel_lags(
     """Current rows plus ``<feature>__y0`` (three months ago) to ``<feature>__y3`` (now).
 
     Only keys with a row in a wanted period appear; months without a row count
-    as missing. One shuffle by key serves all periods: the value of ``j`` months
-    ago can only be among the ``j`` rows before, so ``lag`` plus a check of the
-    row's month is enough.
+    as missing. One shuffle and sort by key serve all periods and lags: each
+    lag is a frame of exactly one month on the month count, over all features
+    at once.
+
+    Expressions over many features are given as text: building the same trees
+    call by call takes the driver longer than running them.
     """
     if periods is not None:
         periods = list(periods)
         df = df.where(F.col(period).isin(periods_needed(periods, BACKWARD)))
     base = df.columns
-    df = df.withColumn(_MI, month_index(F.col(period)))
     by_key = W.partitionBy(key).orderBy(_MI)
-    rows_back = range(1, BACKWARD + 1)
-    df = df.select(
-        "*",
-        *[F.lag(_MI, i).over(by_key).alias(f"__mi_{i}") for i in rows_back],
-        *[F.lag(c, i).over(by_key).alias(f"__{i}_{c}") for i in rows_back for c in features],
+    row = F.struct(*[F.col(_q(c)) for c in features])
+    back = range(1, BACKWARD + 1)
+    df = df.withColumn(_MI, month_index(F.col(period))).select(
+        "*", *[F.first(row).over(by_key.rangeBetween(-j, -j)).alias(f"__back{j}") for j in back]
     )
     if periods is not None:
         df = df.where(F.col(period).isin(periods))
+    names = [_q(c) for c in base]
+    raw = [f"{_known(_q(c))} AS {_q(f'{c}__y{BACKWARD}')}" for c in features]
+    raw += [f"{_known(f'__back{j}.{_q(c)}')} AS {_q(f'{c}__y{BACKWARD - j}')}" for c in features for j in back]
+    return _filled(df.selectExpr(*names, *raw), names, features, fill)
 
-    def value(c: str, months: int) -> Column:
-        if months == 0:
-            return F.col(c)
-        hits = [F.when(F.col(f"__mi_{i}") == F.col(_MI) - months, F.col(f"__{i}_{c}")) for i in range(1, months + 1)]
-        return F.coalesce(*hits)
 
-    lagged = {}
-    for c in features:
-        oldest_first = [value(c, months) for months in range(BACKWARD, -1, -1)]
-        for i, y in enumerate(_filled(oldest_first, fill)):
-            lagged[f"{c}__y{i}"] = y
-    return df.select(*base, *[y.alias(name) for name, y in lagged.items()])
+def _series(c: str) -> list[str]:
+    return [_q(f"{c}__y{i}") for i in range(BACKWARD + 1)]
 
 
-def _filled(y: Sequence[Column], fill: str) -> list[Column]:
-    if fill == "zero":
-        return [fill_zero(c) for c in y]
-    if fill == "interpolate":
-        return interpolate_gaps(y)
-    if fill == "none":
-        return [no_nan(c) for c in y]
-    raise ValueError(f"fill must be 'zero', 'interpolate' or 'none', not {fill!r}")
+def _filled(df: DataFrame, names: list[str], features: Sequence[str], fill: str) -> DataFrame:
+    """Missing months: ``zero``, ``interpolate``, or ``none`` to leave them null.
 
-
-def interpolate_gaps(y: Sequence[Column]) -> list[Column]:
-    """Ends from their neighbour (else 0), inner gaps the mean of both neighbours."""
-    y0, y1, y2, y3 = (no_nan(c) for c in y)
-    first = F.coalesce(y0, y1, F.lit(0.0))
-    last = F.coalesce(y3, y2, F.lit(0.0))
-    second = F.coalesce(y1, (first + y2) / 2)
-    third = F.coalesce(y2, (second + last) / 2)
-    return [first, second, third, last]
+    Interpolation takes the ends from their neighbour (else 0), and for an inner
+    gap the mean of both neighbours, the earlier gap first.
+    """
+    if fill == "none":
+        return df
+    if fill == "zero":
+        return df.selectExpr(*names, *[f"coalesce({y}, 0D) AS {y}" for c in features for y in _series(c)])
+    if fill != "interpolate":
+        raise ValueError(f"fill must be 'zero', 'interpolate' or 'none', not {fill!r}")
+    ends, second, third = [], [], []
+    for c in features:
+        y0, y1, y2, y3 = _series(c)
+        ends += [f"coalesce({y0}, {y1}, 0D) AS {y0}", y1, y2, f"coalesce({y3}, {y2}, 0D) AS {y3}"]
+        second += [y0, f"coalesce({y1}, ({y0} + {y2}) / 2) AS {y1}", y2, y3]
+        third += [y0, y1, f"coalesce({y2}, ({y1} + {y3}) / 2) AS {y2}", y3]
+    for step in (ends, second, third):
+        df = df.selectExpr(*names, *step)
+    return df
 
 
-def _weighted(y: Sequence[Column], weights: tuple[tuple[int, ...], int]) -> Column:
+def _weighted(y: Sequence[str], weights: tuple[tuple[int, ...], int]) -> str:
     factors, divisor = weights
-    total = reduce(lambda a, b: a + b, [c * F.lit(float(w)) for c, w in zip(y, factors) if w])
-    return total / F.lit(float(divisor)) if divisor != 1 else total
-
-
-def span(y: Sequence[Column]) -> Column:
-    """Range of the four values."""
-    return F.greatest(*y) - F.least(*y)
-
-
-def growth_poly(y: Sequence[Column]) -> Column:
-    return _weighted(y, GROWTH_POLY) * span(y)
-
-
-def growth_findiff(y: Sequence[Column]) -> Column:
-    return _weighted(y, GROWTH_FINDIFF) * span(y)
+    total = " + ".join(f"({w}D) * {c}" for c, w in zip(y, factors) if w)
+    return f"({total}) / {divisor}D" if divisor != 1 else f"({total})"
 
 
-def accel_poly(y: Sequence[Column]) -> Column:
-    """Null for a constant series."""
-    return safe_div(_weighted(y, ACCEL_POLY), span(y))
-
-
-def accel_findiff(y: Sequence[Column]) -> Column:
-    """Null for a constant series."""
-    return safe_div(_weighted(y, ACCEL_FINDIFF), span(y))
-
-
-def trend_category(acceleration: Column, growth: Column) -> Column:
+def _direction(acceleration: str, growth: str) -> str:
     """-1, 0 or 1: the direction both agree on."""
-    return sign(sign(acceleration) + sign(growth))
-
-
-def trend_relative(y: Sequence[Column]) -> Column:
-    """Relative fall against the month before; null if that was 0."""
-    return safe_div(y[2] - y[3], y[2])
-
-
-def salary_flag(y: Sequence[Column]) -> Column:
-    return F.when(y[0] + y[1] + y[2] + y[3] > 0, F.lit(1)).otherwise(F.lit(0))
-
-
-def _feature_columns(spec: PanelSpec, c: str, y: Sequence[Column]) -> dict[str, Column]:
-    made: dict[str, Column] = {}
-    if spec.max_min:
-        made[c + MAX_SUFFIX] = F.greatest(*y)
-        made[c + MIN_SUFFIX] = F.least(*y)
-    if spec.growth_poly:
-        made[c + GROWTH_POLY_SUFFIX] = growth_poly(y)
-    if spec.growth_findiff:
-        made[c + GROWTH_FINDIFF_SUFFIX] = growth_findiff(y)
-    if spec.accel_poly:
-        made[c + ACCEL_POLY_SUFFIX] = accel_poly(y)
-    if spec.accel_findiff:
-        made[c + ACCEL_FINDIFF_SUFFIX] = accel_findiff(y)
-    if spec.accel_poly and spec.growth_poly:
-        made[c + CATEGORY_POLY_SUFFIX] = trend_category(accel_poly(y), growth_poly(y))
-    if spec.category_findiff:
-        made[c + CATEGORY_FINDIFF_SUFFIX] = trend_category(accel_findiff(y), growth_findiff(y))
-    if spec.trend_relative:
-        made[c + RELATIVE_SUFFIX] = trend_relative(y)
-    return made
+    return f"signum(signum({acceleration}) + signum({growth}))"
 
 
 def panel_features(df: DataFrame, spec: PanelSpec, periods: Iterable[int] | None = None) -> DataFrame:
-    """Current columns of the wanted periods plus their level, growth, acceleration and trend features."""
+    """Current columns of the wanted periods plus their level, growth, acceleration and trend features.
+
+    Growth is a weighted sum of the four values times their range; acceleration
+    is one divided by the range, and null for a constant series.
+    """
     if not spec.needs_history:
         return df if periods is None else df.where(F.col(spec.period).isin(list(periods)))
-    base = df.columns
+    base = [_q(c) for c in df.columns]
     lag_columns = list(dict.fromkeys([*spec.features, *([spec.salary] if spec.salary else [])]))
     lags = panel_lags(df, spec.key, spec.period, lag_columns, periods, spec.fill)
 
-    def series(c: str) -> list[Column]:
-        return [F.col(f"`{_lagged(c, months)}`") for months in range(BACKWARD, -1, -1)]
+    # Each step names what the next ones use more than once.
+    levels, trends, categories = [], [], []
+    made: list[str] = []
+
+    def add(step: list[str], name: str, expression: str) -> str:
+        step.append(f"{expression} AS {_q(name)}")
+        made.append(_q(name))
+        return _q(name)
 
-    made: dict[str, Column] = {}
-    if spec.salary:
-        made[SALARY_FLAG] = salary_flag(series(spec.salary))
     for c in spec.features:
-        made.update(_feature_columns(spec, c, series(c)))
-    return lags.select(*base, *[column.alias(name) for name, column in made.items()])
+        y = _series(c)
+        hi, lo, width = f"greatest({', '.join(y)})", f"least({', '.join(y)})", _q(f"__width_{c}")
+        levels.append(f"{hi} - {lo} AS {width}")
+        if spec.max_min:
+            add(levels, c + MAX_SUFFIX, hi)
+            add(levels, c + MIN_SUFFIX, lo)
+        growth, acceleration = {}, {}
+        for wanted, kind, weights, suffix in (
+            (spec.growth_poly, "poly", GROWTH_POLY, GROWTH_POLY_SUFFIX),
+            (spec.growth_findiff, "findiff", GROWTH_FINDIFF, GROWTH_FINDIFF_SUFFIX),
+        ):
+            if wanted:
+                growth[kind] = add(trends, c + suffix, f"{_weighted(y, weights)} * {width}")
+        for wanted, kind, weights, suffix in (
+            (spec.accel_poly, "poly", ACCEL_POLY, ACCEL_POLY_SUFFIX),
+            (spec.accel_findiff, "findiff", ACCEL_FINDIFF, ACCEL_FINDIFF_SUFFIX),
+        ):
+            if wanted:
+                acceleration[kind] = add(trends, c + suffix, f"{_weighted(y, weights)} / nullif({width}, 0D)")
+        if "poly" in growth and "poly" in acceleration:
+            add(categories, c + CATEGORY_POLY_SUFFIX, _direction(acceleration["poly"], growth["poly"]))
+        if spec.category_findiff and "findiff" in growth and "findiff" in acceleration:
+            add(categories, c + CATEGORY_FINDIFF_SUFFIX, _direction(acceleration["findiff"], growth["findiff"]))
+        if spec.trend_relative:
+            # Relative fall against the month before; null if that was 0.
+            add(trends, c + RELATIVE_SUFFIX, f"({y[2]} - {y[3]}) / nullif({y[2]}, 0D)")
+    if spec.salary:
+        add(levels, SALARY_FLAG, f"if({' + '.join(_series(spec.salary))} > 0, 1, 0)")
+
+    return lags.selectExpr("*", *levels).selectExpr("*", *trends).selectExpr("*", *categories).selectExpr(*base, *made)
 
 
 def without_history(spec: PanelSpec) -> PanelSpec:

@@ -8,6 +8,18 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+# HotSpot never compiles methods above this size, so a fused stage beyond it would run
+# interpreted; Spark then uses its smaller per-operator methods instead.
+_HOTSPOT_METHOD_LIMIT = "8000"
+
+
+def tune(spark: SparkSession) -> SparkSession:
+    """Runtime settings for wide feature tables; values already changed by the caller stay."""
+    if spark.conf.get("spark.sql.codegen.hugeMethodLimit", "65535") == "65535":
+        spark.conf.set("spark.sql.codegen.hugeMethodLimit", _HOTSPOT_METHOD_LIMIT)
+    return spark
+
+
 def build_session(app: str = "tidepanel", master: str | None = None, shuffle_partitions: int | None = None) -> SparkSession:
     """A session with adaptive execution on; cluster settings win where they are given."""
     builder = (
@@ -15,12 +27,14 @@ def build_session(app: str = "tidepanel", master: str | None = None, shuffle_par
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
+        # Checkpoints of finished queries are removed with the DataFrames that held them.
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     )
     if master is not None:
         builder = builder.master(master).config("spark.ui.enabled", "false")
     if shuffle_partitions is not None:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
-    return builder.getOrCreate()
+    return tune(builder.getOrCreate())
 
 
 def shared_dir(spark: SparkSession) -> str:
