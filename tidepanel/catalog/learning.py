@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidepanel.catalog.views import MODELS, Query, labelled, model_scores, plans, table
+from tidepanel.catalog.views import LABELLED, MODELS, Query, labelled, model_scores, table, with_
 from tidepanel.functions.columns import target_test, target_train
 from tidepanel.operators import learn, panel, profile
 from tidepanel.operators.ledger import Ledger
@@ -55,14 +55,14 @@ def predict_proba_(spark, sf):
 
 def feature_importance_(spark, sf):
     task = _task(spark, sf)
-    return learn.feature_importance(learn.gbt_train(task.train, task.features, task.label, SMALL), task.train)
+    return learn.feature_importance(learn.gbt_train(task.train, task.features, task.label, SMALL), spark)
 
 
 def ignored_features_(spark, sf):
     """Importances of a learner that was not given some features."""
     task = _task(spark, sf)
     trained = learn.gbt_train(task.train, task.features, task.label, SMALL, ignored=["m", "v__ANDREU", "a__ANDREU"])
-    return learn.feature_importance(trained, task.train)
+    return learn.feature_importance(trained, spark)
 
 
 def tree_classify_(spark, sf):
@@ -148,11 +148,15 @@ QUERIES = {
     "gbt_train": Query(gbt_train_),
     "predict_proba": Query(predict_proba_),
     "feature_importance": Query(feature_importance_),
-    "importance_sorted": Query(feature_importance_),
+    "importance_sorted": Query(lambda spark, sf: learn.importance_sorted(feature_importance_(spark, sf))),
     "ignored_features": Query(ignored_features_),
     "tree_classify": Query(tree_classify_),
     "train_eval": Query(train_eval_),
-    "holdout_by_period": Query(holdout_by_period_),
+    "holdout_by_period": Query(
+        holdout_by_period_,
+        with_(LABELLED) + "SELECT CASE p WHEN 199706 THEN 'test' ELSE 'train' END AS side, p, count(*) AS n, sum(v) AS v"
+        " FROM labelled WHERE p IN (199702, 199703, 199704, 199706) GROUP BY p",
+    ),
     "bagging": Query(bagging_),
     "stratified_cv": Query(stratified_cv_),
     "stacking": Query(stacking_),

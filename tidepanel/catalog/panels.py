@@ -206,7 +206,8 @@ WINDOW w AS (PARTITION BY plan_id ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING A
 
 FOLDS = SCORES + """,
 folds AS (
-  SELECT *, CAST((row_number() OVER (PARTITION BY class ORDER BY md5(concat(CAST(id AS VARCHAR), '-1')), id) - 1) % 10 + 1 AS INTEGER) AS fold
+  SELECT *, CAST((row_number() OVER (PARTITION BY class ORDER BY md5(concat(CAST(id AS VARCHAR), '-1')), id) - 1) * 10
+                 // count(*) OVER (PARTITION BY class) + 1 AS INTEGER) AS fold
   FROM scores)"""
 
 

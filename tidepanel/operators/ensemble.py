@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidepanel.functions.columns import complement, row_mean
 from tidepanel.operators.running import numbered
+from tidepanel.session import pinned
 
 
 def ensemble_full_join(scores: DataFrame, models: Sequence, id: str = "id", model: str = "model", prob: str = "prob", label: str | None = "class") -> DataFrame:
@@ -69,10 +70,33 @@ def shuffle_key(id: str, seed: int) -> Column:
 
 
 def stratified_folds(df: DataFrame, label: str, id: str, folds: int = 10, seed: int = 1, name: str = "fold") -> DataFrame:
-    """Fold 1..folds per row, each class dealt out evenly in random order."""
-    mixed = df.withColumn("__key", shuffle_key(id, seed))
-    dealt = numbered(mixed, [F.col("__key").asc(), F.col(id).asc()], "__n", by=[label])
-    return dealt.withColumn(name, ((F.col("__n") - 1) % folds + 1).cast("int")).drop("__n", "__key")
+    """Fold 1..folds per row: each class cut into equal parts of a random order.
+
+    Only label and id are ranked. What comes back is the last value of each part,
+    ``folds`` per class, and every row finds its fold by comparing with these, so
+    the full rows are neither sorted nor shuffled.
+    """
+    narrow = df.select(F.col(label).alias("__label"), _position(id, seed).alias("__at"))
+    ranked = numbered(narrow, [F.col("__at").asc()], "__n", by=["__label"])
+    sizes = df.groupBy(F.col(label).alias("__l")).agg(F.count(F.lit(1)).alias("__size"))
+    part = F.floor((F.col("__n") - 1) * folds / F.col("__size")).cast("int")
+    ends = (
+        ranked.join(sizes, F.col("__label").eqNullSafe(F.col("__l")))
+        .groupBy("__label", part.alias("__part"))
+        .agg(F.max("__at").alias("__end"))
+        .groupBy("__label")
+        .agg(F.sort_array(F.collect_list(F.struct("__part", "__end"))).alias("__ends"))
+    )
+    # One row per class; written, so that each use of the folds only looks them up.
+    ends = pinned(ends)
+    here = _position(id, seed)
+    passed = F.filter("__ends", lambda e: e["__end"] >= here)[0]["__part"]
+    return df.join(ends, F.col(label).eqNullSafe(F.col("__label"))).select(*df.columns, (passed + 1).alias(name))
+
+
+def _position(id: str, seed: int) -> Column:
+    """Place of a row in the random order; the id settles equal keys."""
+    return F.struct(shuffle_key(id, seed).alias("key"), F.col(id).alias("id"))
 
 
 def fold_split(df: DataFrame, i: int, fold: str = "fold") -> tuple[DataFrame, DataFrame]:
@@ -91,12 +115,16 @@ def top_n_ids(df: DataFrame, n: int = 7664, id: str = "id", prob: str = "prob")
 
 
 def downsample_majority(df: DataFrame, label: str, majority: str, id: str, ratio: float = 1.5, seed: int = 1) -> DataFrame:
-    """All rows of the other classes, and ``ratio`` times as many of the majority, drawn at random."""
-    others = df.where(F.col(label) != majority)
-    quota = others.agg(F.round(F.count(F.lit(1)) * F.lit(ratio)).cast("bigint")).scalar()
-    mixed = df.where(F.col(label) == majority).withColumn("__key", shuffle_key(id, seed))
-    drawn = numbered(mixed, [F.col("__key").asc(), F.col(id).asc()], "__n").where(F.col("__n") <= quota)
-    return others.unionByName(drawn.drop("__n", "__key"))
+    """All rows of the other classes, and ``ratio`` times as many of the majority, drawn at random.
+
+    Ids are ranked in a random order; the full rows are only compared with the
+    last one drawn.
+    """
+    is_major = F.col(label) == majority
+    quota = df.where(~is_major).agg(F.round(F.count(F.lit(1)) * F.lit(ratio)).cast("bigint")).scalar()
+    narrow = df.where(is_major).select(_position(id, seed).alias("__at"))
+    last = numbered(narrow, [F.col("__at").asc()], "__n").where(F.col("__n") <= quota).agg(F.max("__at")).scalar()
+    return df.where(~is_major | (_position(id, seed) <= last))
 
 
 def oversample_minority(df: DataFrame, label: str, minority: str, id: str, times: int = 50, seed: int = 1) -> DataFrame:
