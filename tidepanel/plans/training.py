@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidepanel.operators import ensemble, evaluate
@@ -106,10 +106,10 @@ def repeat_trial(task: Task, params: LearnerParams = LearnerParams(), repeats: i
     return _mean_metrics([train_eval(task, replace(params, seed=seed), cutoff) for seed in range(1, repeats + 1)])
 
 
-def _in_parallel(jobs: Sequence[Callable], parallelism: int) -> list:
+def _in_parallel(spark: SparkSession, jobs: Sequence[Callable], parallelism: int) -> list:
     """Start independent Spark jobs from several driver threads; results in order."""
     with ThreadPoolExecutor(max(1, parallelism)) as pool:
-        return [f.result() for f in [pool.submit(inheritable_thread_target(job)) for job in jobs]]
+        return [f.result() for f in [pool.submit(inheritable_thread_target(spark)(job)) for job in jobs]]
 
 
 def bagging(
@@ -122,7 +122,7 @@ def bagging(
     table = preparation.apply(known, label).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         estimators = [replace(params, seed=s).estimator(label, preparation.largest_category) for s in range(1, n_models + 1)]
-        models = _in_parallel([lambda e=e: e.fit(table) for e in estimators], parallelism)
+        models = _in_parallel(train.sparkSession, [lambda e=e: e.fit(table) for e in estimators], parallelism)
     finally:
         table.unpersist()
     return Trained(preparation, tuple(models))
@@ -247,7 +247,7 @@ def param_sweep(
         found = objective(task, replace(base, **settings), point.get("cutoff"))
         return {**found, "trial": i, "hyperparams": point}
 
-    done = _in_parallel([lambda i=i, p=p: judge(i, p) for i, p in enumerate(points, 1)], parallelism)
+    done = _in_parallel(task.train.sparkSession, [lambda i=i, p=p: judge(i, p) for i, p in enumerate(points, 1)], parallelism)
     return sorted(done, key=lambda r: (-r["objective"], r["trial"]))
 
 
