@@ -11,6 +11,7 @@ from tidepanel.catalog.views import (
 )
 from tidepanel.functions.periods import period_of_date
 from tidepanel.operators import clean, ensemble, evaluate, ledger, panel, profile, reconcile
+from tidepanel.session import pinned
 
 # --- joins --------------------------------------------------------------------
 
@@ -449,7 +450,7 @@ UNION ALL SELECT max(cutoff), max(profit), 'max' FROM top UNION ALL SELECT cutof
         with_(SCORES) + f"SELECT p, round(avg({_TERM}), 9) AS logloss FROM scores GROUP BY 1",
     ),
     "metrics_over_repeats": Query(metrics_over_repeats_, METRICS_SQL),
-    "fold_summary": Query(lambda spark, sf: evaluate.fold_summary(evaluate.fold_metrics(folded(spark, sf))), FOLD_SUMMARY_SQL),
+    "fold_summary": Query(lambda spark, sf: evaluate.fold_summary(evaluate.fold_metrics(pinned(folded(spark, sf)))), FOLD_SUMMARY_SQL),
     "counts_at_best": Query(
         lambda spark, sf: evaluate.counts_at_best(evaluate.profit_curve(scores(spark, sf))),
         with_(CURVE) + """, best AS (SELECT arg_max(prob, -rank) AS prob FROM curve WHERE profit_acum = (SELECT max(profit_acum) FROM curve))

@@ -8,17 +8,7 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
-
-from tidepanel.functions.columns import (
-    guarded_ratio,
-    null_sum,
-    row_max_nullskip,
-    row_min_nullskip,
-    row_sum_nullskip,
-    safe_div,
-)
+from pyspark.sql import DataFrame
 
 
 class Formula(NamedTuple):
@@ -114,21 +104,29 @@ def present_formulas() -> list[Formula]:
     return card_formulas() + share_formulas() + list(OTHER_FEATURES)
 
 
-def formula_column(f: Formula) -> Column:
-    inputs = [F.col(c) for c in f.inputs]
-    over = [F.col(c) for c in f.over]
-    if f.op == "max":
-        return row_max_nullskip(*inputs)
-    if f.op == "min":
-        return row_min_nullskip(*inputs)
+def formula_text(f: Formula) -> str:
+    """The formula as expression text; NaN counts as missing where missing values are skipped."""
+
+    def known(c: str) -> str:
+        return f"nanvl(cast(`{c}` AS double), cast(NULL AS double))"
+
+    def skip_sum(columns: tuple[str, ...]) -> str:
+        return "(" + " + ".join(f"coalesce({known(c)}, 0D)" for c in columns) + ")"
+
+    def plain_sum(columns: tuple[str, ...]) -> str:
+        return "(" + " + ".join(f"cast(`{c}` AS double)" for c in columns) + ")"
+
+    if f.op in ("max", "min"):
+        return f"{'greatest' if f.op == 'max' else 'least'}({', '.join(map(known, f.inputs))})"
     if f.op == "skip_sum":
-        return row_sum_nullskip(*inputs)
+        return skip_sum(f.inputs)
     if f.op == "guarded":
-        return guarded_ratio(inputs[0], over[0])
+        divisor = f"cast(`{f.over[0]}` AS double)"
+        return f"if({divisor} IS NULL OR {divisor} = 0D, 0D, {plain_sum(f.inputs)} / nullif({divisor}, 0D))"
     if f.op == "skip_ratio":
-        return safe_div(row_sum_nullskip(*inputs), row_sum_nullskip(*over))
+        return f"{skip_sum(f.inputs)} / nullif({skip_sum(f.over)}, 0D)"
     if f.op == "ratio":
-        return safe_div(null_sum(*inputs), null_sum(*over))
+        return f"{plain_sum(f.inputs)} / nullif({plain_sum(f.over)}, 0D)"
     raise ValueError(f"unknown op {f.op!r} in {f.name!r}")
 
 
@@ -140,6 +138,6 @@ def add_present_features(df: DataFrame, formulas: list[Formula] | None = None) -
         ready = [f for f in pending if not made.intersection(f.inputs + f.over)]
         if not ready:
             raise ValueError(f"formulas depend on each other: {sorted(made)}")
-        df = df.withColumns({f.name: formula_column(f) for f in ready})
+        df = df.selectExpr("*", *[f"{formula_text(f)} AS `{f.name}`" for f in ready])
         pending = [f for f in pending if f not in ready]
     return df

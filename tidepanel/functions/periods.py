@@ -29,10 +29,25 @@ def shift_period(period: Column, months: int | Column) -> Column:
     return period_of_index(month_index(period) + months)
 
 
+def month_start(period: Column) -> Column:
+    """First day of the month; null if there is no such month."""
+    year, month = F.floor(period / 100).cast("int"), (period % 100).cast("int")
+    return F.when(month.between(1, 12), F.make_date(year, month, F.lit(1)))
+
+
+def date_of_number(number: Column) -> Column:
+    """Integer ``yyyymmdd`` to a date; null for days that do not exist.
+
+    Checked by arithmetic: parsing text would raise and catch an exception for
+    every bad value.
+    """
+    first, day = month_start(F.floor(number / 100)), (number % 100).cast("int")
+    return F.when(day.between(1, F.dayofmonth(F.last_day(first))), F.date_add(first, day - 1))
+
+
 def shift_period_text(period: Column, months: int) -> Column:
     """As :func:`shift_period`, but through a date and returned as text."""
-    first_day = F.to_date(F.concat(period.cast("string"), F.lit("01")), "yyyyMMdd")
-    return F.date_format(F.add_months(first_day, months), "yyyyMM")
+    return F.date_format(F.add_months(month_start(period), months), "yyyyMM")
 
 
 def backward_months(period: Column, quantity: int) -> Column:
@@ -57,8 +72,7 @@ def days_to_snapshot(period: Column, date: Column) -> Column:
 
     Missing and impossible dates give null.
     """
-    month_start = F.to_date(F.concat(period.cast("string"), F.lit("01")), "yyyyMMdd")
-    return F.datediff(F.add_months(month_start, 1), F.try_to_date(date.cast("string"), "yyyyMMdd"))
+    return F.datediff(F.add_months(month_start(period), 1), date_of_number(date))
 
 
 def date_text(period: Column, day: str = "01") -> Column:

@@ -89,9 +89,9 @@ def stratified_folds(df: DataFrame, label: str, id: str, folds: int = 10, seed:
     )
     # One row per class; written, so that each use of the folds only looks them up.
     ends = pinned(ends)
-    here = _position(id, seed)
-    passed = F.filter("__ends", lambda e: e["__end"] >= here)[0]["__part"]
-    return df.join(ends, F.col(label).eqNullSafe(F.col("__label"))).select(*df.columns, (passed + 1).alias(name))
+    placed = df.withColumn("__at", _position(id, seed)).join(ends, F.col(label).eqNullSafe(F.col("__label")))
+    reached = F.filter("__ends", lambda e: e["__end"] >= F.col("__at"))[0]["__part"]
+    return placed.select(*df.columns, (reached + 1).alias(name))
 
 
 def _position(id: str, seed: int) -> Column:

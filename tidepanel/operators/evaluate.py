@@ -187,15 +187,21 @@ def metrics_over_repeats(trials: DataFrame, trial: str, means: Sequence[str], to
 
 
 def fold_metrics(df: DataFrame, fold: str = "fold", id: str = "id", prob: str = "prob", label: str = "class", gain: int = GAIN, cost: int = COST) -> DataFrame:
-    """Per fold: AUC, log-loss, peak profit, its share of the perfect profit, and that share of the whole set's."""
+    """Per fold: AUC, log-loss, peak profit, its share of the perfect profit, and that share of the whole set's.
+
+    The scores are read three times; hand over a written table if they are costly to make.
+    """
     peak = profit_curve_peak(profit_curve(df, id, prob, label, gain, cost, by=[fold]), prob, by=[fold])
-    whole = df.agg(F.count(F.when(F.col(label) == 1, F.lit(1))) * F.lit(gain)).scalar()
-    ratio = F.try_divide(F.col("profit_acum").cast("double"), F.col("perfect_profit").cast("double"))
+    sums = df.groupBy(fold).agg(
+        F.avg(logloss_term(F.col(prob), F.col(label))).alias("logloss"),
+        (F.count(F.when(F.col(label) == 1, F.lit(1))) * F.lit(gain)).cast("double").alias("perfect_profit"),
+    )
+    whole = sums.agg(F.sum("perfect_profit")).scalar()
+    ratio = F.try_divide(F.col("profit_acum").cast("double"), F.col("perfect_profit"))
     return (
         auc(df, prob, label, by=[fold]).select(fold, "auc")
-        .join(logloss(df, prob, label, by=[fold]), fold)
+        .join(sums, fold)
         .join(peak.select(fold, "profit_acum"), fold)
-        .join(perfect_profit(df, label, gain, by=[fold]), fold)
         .select(fold, "auc", "logloss", ratio.alias("profit_ratio"), (ratio * whole).alias("profit"))
     )
 
