@@ -42,11 +42,11 @@ def test_training_with_nulls_and_levels(spark, task):
 
 
 def test_metrics_beat_guessing(task):
-    found = T.train_eval(task, FAST)
+    found = T.train_eval(T.load_pool(task), FAST)
     assert found["auc_testing"] > 0.7 and found["auc_training"] > 0.7
     assert found["logloss_testing"] < 0.6931
     assert 0 < found["perfect_profit_ratio"] <= 1 and found["profit"] <= found["perfect_profit"]
-    fixed = T.train_eval(task, FAST, cutoff=0.025)
+    fixed = T.train_eval(T.load_pool(task), FAST, cutoff=0.025)
     assert fixed["cutoff"] == 0.025 and fixed["profit"] == fixed["profit_0025"]
 
 
@@ -89,12 +89,13 @@ def test_grid(task):
 
 
 def test_sweep_stays_in_the_box_and_sorts(task):
+    pool = T.load_pool(task)
     box = T.Box({"depth": (1, 3), "learning_rate": (0.01, 1.0), "cutoff": (0.01, 0.1)})
-    found = T.param_sweep(task, box, trials=2, base=FAST)
+    found = T.param_sweep(pool, box, trials=2, base=FAST)
     assert [r["objective"] for r in found] == sorted((r["objective"] for r in found), reverse=True)
     for r in found:
         assert 1 <= r["hyperparams"]["depth"] <= 3 and 0.01 <= r["hyperparams"]["learning_rate"] <= 1 and r["cutoff"] == r["hyperparams"]["cutoff"]
-    again = T.param_sweep(task, box, trials=2, base=FAST)
+    again = T.param_sweep(pool, box, trials=2, base=FAST)
     assert [r["hyperparams"] for r in again] == [r["hyperparams"] for r in found]
 
 

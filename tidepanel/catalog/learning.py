@@ -75,7 +75,7 @@ def tree_classify_(spark, sf):
 
 
 def train_eval_(spark, sf):
-    return _one_row(spark, T.train_eval(_task(spark, sf), SMALL))
+    return _one_row(spark, T.train_eval(T.load_pool(_task(spark, sf)), SMALL))
 
 
 def holdout_by_period_(spark, sf):
@@ -115,13 +115,13 @@ def grid_cv_(spark, sf):
 
 def param_sweep_(spark, sf):
     box = T.Box({"depth": (2, 4), "iterations": (2, 4), "border_count": (8, 64), "learning_rate": (0.05, 0.5), "cutoff": (0.01, 0.1)})
-    found = T.param_sweep(_task(spark, sf), box, trials=3)
+    found = T.param_sweep(T.load_pool(_task(spark, sf)), box, trials=3)
     rows = [(r["trial"], r["objective"], r["profit"], r["auc_testing"], r["cutoff"]) for r in found]
     return spark.createDataFrame(rows, "trial int, objective double, profit double, auc_testing double, cutoff double")
 
 
 def repeat_trial_(spark, sf):
-    return _one_row(spark, T.repeat_trial(_task(spark, sf), SMALL, repeats=3))
+    return _one_row(spark, T.repeat_trial(T.load_pool(_task(spark, sf)), SMALL, repeats=3))
 
 
 def plan_runner_(spark, sf):

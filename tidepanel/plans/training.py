@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from tidepanel.operators import ensemble, evaluate
 from tidepanel.operators.ledger import Ledger
-from tidepanel.operators.learn import FEATURES, LearnerParams, Trained, gbt_train, prepare
+from tidepanel.operators.learn import FEATURES, LearnerParams, Preparation, Trained, prepare
 from tidepanel.session import pinned
 
 
@@ -42,10 +42,37 @@ def _row_key(columns: Sequence[str]):
     return F.concat_ws("-", *[F.col(c).cast("string") for c in columns]).alias("id")
 
 
-def _scored(trained: Trained, df: DataFrame, task: Task, sample: str) -> DataFrame:
-    kept = df.where(F.col(task.label).isNotNull())
-    scores = trained.score(kept, *task.id, task.label)
-    return scores.select(F.lit(sample).alias("sample"), _row_key(task.id), "prob", F.col(task.label).cast("int").alias("class"))
+@dataclass(frozen=True)
+class Pool:
+    """Labelled feature vectors of a task, written once for all trainings and searches on it."""
+
+    preparation: Preparation
+    train: DataFrame
+    test: DataFrame
+    label: str
+    id: tuple[str, ...]
+
+    def fit(self, params: LearnerParams) -> Trained:
+        estimator = params.estimator(self.label, self.preparation.largest_category)
+        return Trained(self.preparation, (estimator.fit(self.train.select(self.label, FEATURES)),))
+
+    def scores(self, trained: Trained) -> DataFrame:
+        """Scores of both samples under each other."""
+        parts = [
+            trained.score_vectors(side, *self.id, self.label).select(
+                F.lit(sample).alias("sample"), _row_key(self.id), "prob", F.col(self.label).cast("int").alias("class")
+            )
+            for sample, side in (("train", self.train), ("test", self.test))
+        ]
+        return parts[0].unionByName(parts[1])
+
+
+def load_pool(task: Task) -> Pool:
+    """Rows without a label are left out; how to fill and code features is learnt from the train rows."""
+    train, test = (df.where(F.col(task.label).isNotNull()) for df in (task.train, task.test))
+    preparation = prepare(train, task.features, task.categorical)
+    written = [pinned(preparation.apply(df, *task.id, task.label)) for df in (train, test)]
+    return Pool(preparation, *written, task.label, task.id)
 
 
 def evaluate_scores(scores: DataFrame, cutoff: float | None = None, tie: str = "max") -> dict:
@@ -81,13 +108,12 @@ def evaluate_scores(scores: DataFrame, cutoff: float | None = None, tie: str = "
     }
 
 
-def train_eval(task: Task, params: LearnerParams = LearnerParams(), cutoff: float | None = None) -> dict:
-    """Train once, score both tables, and return all metrics with the minutes of training."""
+def train_eval(pool: Pool, params: LearnerParams = LearnerParams(), cutoff: float | None = None) -> dict:
+    """Train once, score both samples, and return all metrics with the minutes of training."""
     started = time.monotonic()
-    trained = gbt_train(task.train, task.features, task.label, params, task.categorical)
+    trained = pool.fit(params)
     minutes = round((time.monotonic() - started) / 60, 2)
-    scores = _scored(trained, task.train, task, "train").unionByName(_scored(trained, task.test, task, "test"))
-    return {**evaluate_scores(scores, cutoff), "minutes_taken": minutes}
+    return {**evaluate_scores(pool.scores(trained), cutoff), "minutes_taken": minutes}
 
 
 def _mean_metrics(runs: Sequence[Mapping]) -> dict:
@@ -101,9 +127,9 @@ def _mean_metrics(runs: Sequence[Mapping]) -> dict:
     return means
 
 
-def repeat_trial(task: Task, params: LearnerParams = LearnerParams(), repeats: int = 3, cutoff: float | None = None) -> dict:
+def repeat_trial(pool: Pool, params: LearnerParams = LearnerParams(), repeats: int = 3, cutoff: float | None = None) -> dict:
     """Mean metrics of several trainings that differ in their seed."""
-    return _mean_metrics([train_eval(task, replace(params, seed=seed), cutoff) for seed in range(1, repeats + 1)])
+    return _mean_metrics([train_eval(pool, replace(params, seed=seed), cutoff) for seed in range(1, repeats + 1)])
 
 
 def _in_parallel(spark: SparkSession, jobs: Sequence[Callable], parallelism: int) -> list:
@@ -222,20 +248,20 @@ CUTOFF_BOX = Box({"depth": (1, 10), "iterations": (250, 1250), "border_count": (
 DEFAULT_CUTOFF_BOX = Box({"depth": (6, 10), "iterations": (250, 1250), "border_count": (128, 254), "learning_rate": (1e-7, 1.0)})
 
 
-def objective_mean_profit(task: Task, params: LearnerParams, cutoff: float | None = None) -> dict:
+def objective_mean_profit(pool: Pool, params: LearnerParams, cutoff: float | None = None) -> dict:
     """Best profit of the sweep, mean of three trainings."""
-    found = repeat_trial(task, params, 3)
+    found = repeat_trial(pool, params, 3)
     return {**found, "objective": found["profit"]}
 
 
-def objective_ratio_at_cutoff(task: Task, params: LearnerParams, cutoff: float | None = None) -> dict:
+def objective_ratio_at_cutoff(pool: Pool, params: LearnerParams, cutoff: float | None = None) -> dict:
     """Share of the perfect profit at a cutoff that is searched too (or the default one)."""
-    found = train_eval(task, params, evaluate.DEFAULT_CUTOFF if cutoff is None else cutoff)
+    found = train_eval(pool, params, evaluate.DEFAULT_CUTOFF if cutoff is None else cutoff)
     return {**found, "objective": found["perfect_profit_ratio"] or 0.0}
 
 
 def param_sweep(
-    task: Task, box: Box, objective: Callable[..., dict] = objective_ratio_at_cutoff, trials: int = 200, seed: int = 1,
+    pool: Pool, box: Box, objective: Callable[..., dict] = objective_ratio_at_cutoff, trials: int = 200, seed: int = 1,
     parallelism: int = 2, base: LearnerParams = LearnerParams(),
 ) -> list[dict]:
     """Draw points of the box, train and judge each; best objective first."""
@@ -244,10 +270,10 @@ def param_sweep(
 
     def judge(i: int, point: dict) -> dict:
         settings = {k: v for k, v in point.items() if k != "cutoff"}
-        found = objective(task, replace(base, **settings), point.get("cutoff"))
+        found = objective(pool, replace(base, **settings), point.get("cutoff"))
         return {**found, "trial": i, "hyperparams": point}
 
-    done = _in_parallel(task.train.sparkSession, [lambda i=i, p=p: judge(i, p) for i, p in enumerate(points, 1)], parallelism)
+    done = _in_parallel(pool.train.sparkSession, [lambda i=i, p=p: judge(i, p) for i, p in enumerate(points, 1)], parallelism)
     return sorted(done, key=lambda r: (-r["objective"], r["trial"]))
 
 
@@ -264,16 +290,16 @@ def plan_runner(
     done = 0
     while (plan := ledger.next_plan()) is not None:
         train_periods, test_periods = ([int(p) for p in plan[side].split(",")] for side in ("train", "test"))
-        task = load(train_periods, test_periods)
+        pool = load_pool(load(train_periods, test_periods))
         common = {
             "experiment_code": code, "algorithm": "gbt", "train_periods": plan["train"], "test_periods": plan["test"],
             "observation": "", "plan_id": plan["id"],
         }
         if box is None:
-            found = train_eval(task, params)
+            found = train_eval(pool, params)
             ledger.append({**found, **common, "estimation": "no cv"}, asdict(params))
         else:
-            for found in param_sweep(task, box, trials=trials, base=params):
+            for found in param_sweep(pool, box, trials=trials, base=params):
                 ledger.append({**found, **common, "estimation": "no cv"}, found["hyperparams"])
         ledger.finish(plan["id"])
         done += 1
