@@ -125,11 +125,12 @@ def present_features_(spark, sf):
     return add_present_features(bank(spark, sf)).select("k", "p", *[f.name for f in present_formulas()])
 
 
-def _present_sql() -> str:
+def present_ctes(source: str = "SELECT * FROM bank") -> str:
+    """Views up to ``present``: the bank rows with all derived columns."""
     cards, rest = card_formulas(), [f for f in present_formulas() if not f.name.startswith("mv_")]
     first = ", ".join(f"{_formula_sql(f)} AS {f.name}" for f in cards)
     second = ", ".join(f"{_formula_sql(f)} AS {f.name}" for f in rest)
-    return with_(BANK) + f", cards AS (SELECT *, {first} FROM bank)\nSELECT k, p, {', '.join(f.name for f in cards)}, {second} FROM cards"
+    return with_(BANK) + f", source AS ({source}),\ncards AS (SELECT *, {first} FROM source),\npresent AS (SELECT *, {second} FROM cards)"
 
 
 # --- cleaning -----------------------------------------------------------------
@@ -337,7 +338,7 @@ QUERIES = {
         with_(PANEL_C) + "SELECT k, p, '$' || replace(format('{:,}', CAST(m AS BIGINT)), ',', '.') AS money,"
         " '$' || replace(format('{:,}', CAST(-t AS BIGINT)), ',', '.') AS loss FROM panel_c",
     ),
-    "present_features": Query(present_features_, _present_sql()),
+    "present_features": Query(present_features_, present_ctes() + "\nSELECT k, p, " + ", ".join(f.name for f in present_formulas()) + " FROM present"),
     "drop_columns": Query(drop_columns_, "SELECT o_orderkey, o_custkey, o_orderstatus FROM orders"),
     "filter_period": Query(
         lambda spark, sf: clean.filter_period(panel_c(spark, sf), "p", 199706).select("k", "p", "t", "m"),
