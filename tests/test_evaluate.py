@@ -51,6 +51,12 @@ def test_sweep_equals_every_cutoff_against_every_score(scores, data):
     assert evaluate.profit_default_cutoff(evaluate.cutoff_sweep(scores)).first().profit == profit(data, 0.025)
 
 
+def test_missing_probability_passes_no_cutoff(spark):
+    df = spark.createDataFrame([(None, 1), (float("nan"), 1), (1.0, 1), (5.0, 0)], "prob double, class int")
+    assert all((r.n_above, r.hits) == (2, 1) for r in evaluate.cutoff_sweep(df).collect())
+    assert evaluate.profit_at_cutoff(df, 0.0).first().profit == 11400
+
+
 def test_sweep_per_group(scores, data):
     for r in evaluate.cutoff_sweep(scores, by=["g"], gain=11000).collect():
         assert r.profit == profit([d for d in data if d[3] == r.g], r.cutoff, 11000)

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from tidepanel.catalog.views import (
     EXPERIMENTS, PANEL_C, PANEL_S, SCORES, Query, experiments, panel_c, panel_s, scores, table, with_,
 )
-from tidepanel.functions.columns import row_max_nullskip, row_min_nullskip
 from tidepanel.functions.periods import backward_months, period_of_date
 from tidepanel.operators import ensemble, evaluate, ledger, panel
 

@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidepanel.catalog.views import (
-    BANK, DATES, EXPERIMENTS, LABELLED, MODEL_SCORES, MODELS, PANEL_C, PANEL_S, SCORES,
-    Query, bank, dates, experiments, labelled, model_scores, panel_c, panel_s, scores, table, with_,
+    BANK, DATES, LABELLED, MODEL_SCORES, MODELS, PANEL_C, PANEL_S, SCORES,
+    Query, bank, dates, labelled, model_scores, panel_c, panel_s, scores, table, with_,
 )
 from tidepanel.functions import columns as C
 from tidepanel.functions import periods as P
-from tidepanel.functions.derived import add_present_features, card_formulas, present_formulas, share_formulas
+from tidepanel.functions.derived import add_present_features, card_formulas, present_formulas
 from tidepanel.operators import clean, panel
 from tidepanel.operators.ensemble import ensemble_full_join
 

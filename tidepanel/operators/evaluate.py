@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidepanel.functions.columns import no_nan
 from tidepanel.operators.running import running_totals
 
 # Payoff of a hit, cost of a miss, cutoff grid and operating cutoff.
@@ -30,7 +31,7 @@ def profit_at_cutoff(
     df: DataFrame, cutoff: float, prob: str = "prob", label: str = "class", gain: int = GAIN, cost: int = COST, by: Sequence[str] = ()
 ) -> DataFrame:
     """Profit of acting on all scores above (not at) the cutoff."""
-    value = F.when(F.col(prob) > cutoff, payoff(F.col(label), gain, cost)).otherwise(F.lit(0).cast("bigint"))
+    value = F.when(no_nan(F.col(prob)) > cutoff, payoff(F.col(label), gain, cost)).otherwise(F.lit(0).cast("bigint"))
     return df.groupBy(*by).agg(F.sum(value).alias("profit"))
 
 
@@ -38,15 +39,17 @@ def cutoffs_passed(prob: Column, steps: int = CUTOFF_STEPS, unit: int = CUTOFF_U
     """How many of the cutoffs 0/unit, 1/unit .. steps/unit lie below the probability.
 
     The rounded product can miss by one at a grid point, so both neighbours are
-    tested with the comparison that defines a cutoff.
+    tested with the comparison that defines a cutoff. A missing probability
+    passes none.
     """
+    prob = no_nan(prob)
     guess = F.ceil(prob * unit)
     exact = (
         F.when(prob > guess / F.lit(float(unit)), guess + 1)
         .when(prob > (guess - 1) / F.lit(float(unit)), guess)
         .otherwise(guess - 1)
     )
-    return F.greatest(F.least(exact, F.lit(steps + 1)), F.lit(0)).cast("int")
+    return F.when(prob.isNull(), F.lit(0)).otherwise(F.greatest(F.least(exact, F.lit(steps + 1)), F.lit(0))).cast("int")
 
 
 def cutoff_sweep(
@@ -59,10 +62,8 @@ def cutoff_sweep(
     under the number of cutoffs it passes; only the at most ``steps + 2`` sums of
     a group are then spread over the cutoffs.
     """
-    counted = (
-        df.groupBy(*by, cutoffs_passed(F.col(prob), steps, unit).alias("__passed"))
-        .agg(F.count(F.lit(1)).alias("__n"), F.count(F.when(F.col(label) == 1, F.lit(1))).alias("__hits"))
-        .where(F.col("__passed").isNotNull())
+    counted = df.groupBy(*by, cutoffs_passed(F.col(prob), steps, unit).alias("__passed")).agg(
+        F.count(F.lit(1)).alias("__n"), F.count(F.when(F.col(label) == 1, F.lit(1))).alias("__hits")
     )
     spread = counted.select(*by, "__passed", "__n", "__hits", F.explode(F.sequence(F.lit(0), F.lit(steps))).alias("k"))
     reached = F.col("k") < F.col("__passed")
