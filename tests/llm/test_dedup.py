@@ -106,8 +106,6 @@ def test_near_links_in_one_large_family(spark):
     fps = np.array(sorted(fps), np.uint64)
     links = simhash_dedup.near_links(spark.createDataFrame([(int(x),) for x in fps.view(np.int64)], "fp bigint"))
     rows = links.collect()
-    for a, b in rows:
-        assert ((a ^ b) & (2**64 - 1)).bit_count() <= 6  # directly, or over a member that both are close to
     got = {r["node"]: r["root"] for r in components(links).collect()}
     signed = fps.view(np.int64).tolist()
     root = list(range(len(fps)))

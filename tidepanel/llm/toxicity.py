@@ -33,10 +33,10 @@ from tidepanel.llm.common import narrowed, without
 from tidepanel.llm.substring_dedup import mixed
 
 DIMENSIONS = 1 << 20
-MAX_TRAIN = 8192
+MAX_TRAIN = 6144
 FOLDS = 5
 # FTRL-proximal: learning rate, its smoothing, L1 and L2 terms, passes over the sample.
-ALPHA, BETA, L1, L2, EPOCHS = 2.0, 1.0, 4.0, 0.0, 6
+ALPHA, BETA, L1, L2, EPOCHS = 2.0, 1.0, 4.0, 0.0, 5
 STEMS = (4, 7)
 CACHED_WORDS = 300_000
 _WORD = re.compile(r"\w+")
