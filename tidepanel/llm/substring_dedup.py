@@ -11,6 +11,9 @@ its words. The smallest doc_id with that extension is its first place.
 Repeats. Overlapping repeated windows merge into maximal repeats, and their
 words go from each document that isn't the first place.
 
+Copies. Documents with the same bytes as one of a smaller doc_id repeat it
+whole, so they are found by their hashes first and not extended again.
+
 Both comparisons sort narrow rows by (hash, doc_id) and stream: the first row of
 a run tells the smallest doc_id, so a run of any length takes no memory. Hashes
 of anchors have 64 bits (a chance hit costs only a needless extension), those of
@@ -33,10 +36,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidepanel.llm.common import narrowed
+from tidepanel.llm.exact_dedup import content_hash
 
 THRESHOLD = 13
 ANCHOR = 6
 NO_ID = (1 << 63) - 1
+# In the place of a window's start: the whole text is a copy.
+COPY = 0xFFFFFFFF
 CACHED_WORDS = 300_000
 
 _ODD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
@@ -152,9 +158,10 @@ def _windows(threshold: int, anchor: int):
         hashes = WordHash()
         for batch in batches:
             out, size = [], 0
-            for id_, tag, text, seeds in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
+            plain = [batch.column(k).to_pylist() for k in (1, 2, 5)]
+            for id_, tag, copies, text, seeds in zip(*plain, batch.column(3), batch.column(4), strict=True):
                 words = text.as_py().split()
-                if len(words) < threshold:
+                if len(words) < threshold or tag in copies:
                     continue
                 x = hashes.of(words)
                 runs, at = selected(x, threshold, anchor)
@@ -205,13 +212,16 @@ def _cut(threshold: int, keep_text: bool):
         hashes = WordHash()
         for batch in batches:
             rows = [[] for _ in schema]
-            for doc_id, tag, text, places in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
+            for doc_id, tag, text, places in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3), batch.column(4), strict=True):
                 words = text.as_py().split()
                 n, spans = len(words), []
                 kept = words
                 place = places.values.to_numpy() if places.is_valid else np.empty(0, np.int64)
-                start = (place[place >> 32 == tag] & 0xFFFFFFFF).astype(np.int64)
-                if len(start):
+                start = (place[place >> 32 == tag] & COPY).astype(np.int64)
+                if (start == COPY).any():
+                    if n >= threshold:
+                        kept, spans = [], [{"start": 0, "end": n}]
+                elif len(start):
                     # The same window may start again further on.
                     w = run_hashes(hashes.of(words), threshold, 1)
                     start = np.flatnonzero(np.isin(w, w[start]))
@@ -245,16 +255,24 @@ def remove_repeats(
         F.xxhash64("text").bitwiseAND(F.lit(0x7FFFFFFF)).alias("tag"),
         F.col("text").cast("binary").alias("text"),
     )
+    # Narrow rows: which (id, tag) have their text in a document of a smaller id.
+    rows = texts.select("id", "tag", content_hash(F.col("text")).alias("h")).distinct()
+    firsts = rows.groupBy("h").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first < last")
+    copies = rows.join(firsts.select(F.col("h").alias("__h"), "first"), (F.col("h") == F.col("__h")) & (F.col("id") > F.col("first"))).select("id", "tag")
+
     anchors = texts.select("id", "text").mapInArrow(_seeds(threshold, anchor), "anchor bigint, id bigint")
     shared = anchors.repartition("anchor").sortWithinPartitions("anchor", "id").mapInArrow(_shared, "id bigint, anchor bigint")
-    seeds = shared.groupBy("id").agg(F.collect_list("anchor").alias("seeds")).withColumnRenamed("id", "__id")
-    seeded = texts.join(seeds, F.col("id") == F.col("__id")).select("id", "tag", "text", "seeds")
+    known = shared.withColumn("tag", F.lit(None).cast("bigint")).unionByName(copies.withColumn("anchor", F.lit(None).cast("bigint")))
+    seeds = known.groupBy("id").agg(F.collect_list("anchor").alias("seeds"), F.collect_list("tag").alias("copies")).withColumnRenamed("id", "__id")
+    # Both joins read the texts with the same columns, so they are shuffled once.
+    seeded = texts.join(seeds, F.col("id") == F.col("__id")).select("doc_id", "id", "tag", "text", "seeds", "copies")
     windows = seeded.mapInArrow(_windows(threshold, anchor), "w1 bigint, w2 bigint, id bigint, place bigint")
     repeated = windows.repartition("w1", "w2").sortWithinPartitions("w1", "w2", "id").mapInArrow(_repeated, "id bigint, place bigint")
+    repeated = repeated.unionByName(copies.select("id", F.shiftleft("tag", 32).bitwiseOR(F.lit(COPY).cast("bigint")).alias("place")))
     places = repeated.groupBy("id").agg(F.collect_list("place").alias("places")).withColumnRenamed("id", "__id")
     ddl = "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string, spans array<struct<start:bigint,end:bigint>>"
     return (
         texts.join(places, F.col("id") == F.col("__id"), "left")
-        .select("doc_id", "tag", "text", "places")
+        .select("doc_id", "id", "tag", "text", "places")
         .mapInArrow(_cut(threshold, keep_text), ddl + ", kept_text string" * keep_text)
     )
