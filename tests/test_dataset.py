@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from tidepanel.plans.dataset import DatasetSpec, labelled_for_testing, labelled_for_training, load_dataset
+from tidepanel.plans.dataset import DatasetSpec, labelled_for_testing, labelled_for_training, load_dataset, master_to_months
 from tidepanel.sources.schema import snapshot_schema
 
 
@@ -43,3 +43,17 @@ def test_labels(spark):
     assert [r.target for r in labelled_for_training(rows).orderBy("numero_de_cliente").collect()] == [1, 0]
     tested = labelled_for_testing(rows)
     assert [r.target for r in tested.collect()] == [0, 0] and "clase_ternaria" not in tested.columns
+
+
+def test_all_months_without_a_list(spark):
+    assert load_dataset(snapshots(spark), None).count() == load_dataset(snapshots(spark), [201711, 201712, 201801, 201802]).count() == 6
+
+
+def test_master_to_months(spark, tmp_path):
+    schema = snapshot_schema()
+    rows = snapshots(spark).withColumn("Visa_fechaalta", F.lit(20171130).cast(schema["Visa_fechaalta"].dataType))
+    master, target = str(tmp_path / "master"), str(tmp_path / "months")
+    rows.write.option("sep", "\t").option("header", "true").csv(master)
+    master_to_months(spark, master, target, schema)
+    back = spark.read.option("sep", "\t").option("header", "true").csv(target)
+    assert {(r.foto_mes, r.Visa_fechaalta) for r in back.collect()} == {(201711, "1"), (201712, "32"), (201801, "63"), (201802, "91")}

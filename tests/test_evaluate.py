@@ -201,3 +201,14 @@ def test_ensemble_keeps_ids_of_any_model(spark):
     assert sorted(wide) == [1, 2, 3] and wide[3].prob_model_x is None and wide[3].prob_model_y == 0.6 and wide[2]["class"] == 1
     check = ensemble.ensemble_key_check(scores, ["x", "y"]).first()
     assert (check.model, check.n_key_diff, check.n_class_diff) == ("y", 2, 1)
+
+
+def test_missing_scores_and_labels_are_passed_over(spark):
+    rows = [(1, 0.9, 1), (2, 0.2, 0), (3, None, 1), (4, float("nan"), 0), (5, 0.4, None)]
+    df = spark.createDataFrame(rows, "id int, prob double, class int")
+    want = -(math.log(0.9) + math.log(0.8)) / 2
+    assert evaluate.logloss(df).first()["logloss"] == pytest.approx(want)
+    assert evaluate.auc(df).first()["n"] == 2
+    assert [r.id for r in ensemble.top_n_ids(df, 3).collect()] == [1, 5, 2]
+    assert {r.id: r["rank"] for r in ensemble.rank_ids(df).collect()} == {1: 1, 5: 2, 2: 3, 3: 4, 4: 5}
+    assert [r.id for r in evaluate.profit_curve(df).orderBy("rank").collect()][:3] == [1, 5, 2]

@@ -57,10 +57,27 @@ def test_bagging_is_the_mean_and_can_be_stored(spark, task):
     assert all(mean[i] == pytest.approx((parts[0][i] + parts[1][i]) / 2) for i in mean)
     path = scratch_path(spark, "models")
     bag.save(path)
-    again = learn.load_trained(path, bag.preparation.features, 2)
+    again = learn.load_trained(path)
+    assert again.preparation.features == bag.preparation.features and again.preparation.largest_category == bag.preparation.largest_category
     assert {r.id: r.prob for r in again.score(task.test, "id").collect()} == pytest.approx(mean)
 
 
+def test_models_of_a_bag_differ(task):
+    bag = T.bagging(task.train, task.features, "target", learn.LearnerParams(iterations=3, depth=3), n_models=3, categorical=["level"])
+    assert len({m.toDebugString for m in bag.models}) == 3
+    with pytest.raises(ValueError, match="subsample"):
+        T.bagging(task.train, task.features, "target", learn.LearnerParams(subsample=1.0), n_models=2)
+
+
+def test_too_many_levels(spark):
+    from tidepanel.operators.clean import check_levels
+
+    df = spark.range(30).selectExpr("cast(id as string) as level")
+    check_levels(df, ["level"], 30)
+    with pytest.raises(ValueError, match="levels"):
+        check_levels(df, ["level"], 29)
+
+
 def test_cross_validation(rows):
     got = T.stratified_cv(rows, ["x", "noise"], "target", ["id"], FAST, folds=2, n_models=1).collect()
     assert sorted((r.sample, r.fold) for r in got) == [("test", 1), ("test", 2), ("train", 1), ("train", 2)]

@@ -19,14 +19,13 @@ FIELDS = {
 
 
 def load_dataset_(spark, sf):
-    """All months of the table as wanted periods; two columns are without any value."""
+    """All months of the table; two columns are without any value."""
     rows = bank(spark, sf).withColumns({c: F.lit(None).cast("double") for c in ("Master_marca_atraso", "tcajas_otras")})
     avoid = tuple(c for c in [*rows.columns, *[f.name for f in present_formulas()]] if c not in TRENDS)
     spec = DatasetSpec(
         key="k", period="p", unused=("unused",), no_trend=avoid, salary="tplan_sueldo", derived=True, max_min=True, drop_last=("tcajas_otras",)
     )
-    periods = [year * 100 + month for year in range(1995, 2002) for month in range(1, 13)]
-    made = load_dataset(rows.withColumn("unused", F.lit(1)), periods, spec)
+    made = load_dataset(rows.withColumn("unused", F.lit(1)), None, spec)
     return made.select(
         "k", "p", F.col("cliente_edad").alias("age_bin"), "z_prom_prestamos", "vivi_antig_ratio", F.col("dependencia_salarial").alias("flag"),
         *[F.col(f"{c}{suffix}").alias(f"{c}_{name}") for c in TRENDS for suffix, name in FIELDS.items()],

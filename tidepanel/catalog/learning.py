@@ -1,7 +1,8 @@
 """Learning and model selection, on supplier months whose class comes from the months after.
 
-Small trees and few of them: the numbers of rows are those of the tables, the
-settings are the caller's to raise.
+Single trainings use 50 rounds of depth 6; bags, stacks and rankings ten models.
+The searches are cut short and say so where they are called: their full sizes are
+the defaults of the jobs.
 """
 
 from __future__ import annotations
@@ -16,7 +17,10 @@ from tidepanel.operators.learn import LearnerParams
 from tidepanel.plans import training as T
 from tidepanel.session import scratch_path
 
-SMALL = LearnerParams(iterations=3, depth=3, border_count=32, learning_rate=0.2, subsample=0.8)
+FULL = LearnerParams(iterations=50, depth=6)
+SECOND = LearnerParams(iterations=50, depth=2)
+# For jobs of many trainings.
+SHORT = LearnerParams(iterations=10, depth=4, border_count=64, learning_rate=0.2)
 TREND = panel.PanelSpec(key="k", period="p", features=("v", "a"), growth_findiff=False, accel_findiff=False)
 FEATURES = (
     "n", "v", "m", "a", "b", "r", "v__CREC_POLI", "v__ACEL_POLI", "v__ACEL_POLI__CAT_POLI", "v__ANDREU",
@@ -43,25 +47,25 @@ def gbt_train_(spark, sf):
     """Scores of a learner of quality labels, on text length, language and source."""
     documents, labels = table(spark, sf, "documents").select("doc_id", "lang", "source", "n_chars"), table(spark, sf, "labels")
     rows = documents.join(labels, "doc_id", "left")
-    trained = learn.gbt_train(rows, ["n_chars", "lang", "source"], "quality", SMALL, categorical=["lang", "source"])
+    trained = learn.gbt_train(rows, ["n_chars", "lang", "source"], "quality", FULL, categorical=["lang", "source"])
     return trained.score(rows, "doc_id")
 
 
 def predict_proba_(spark, sf):
     task = _task(spark, sf)
-    trained = learn.gbt_train(task.train, task.features, task.label, SMALL)
+    trained = learn.gbt_train(task.train, task.features, task.label, FULL)
     return trained.score(task.train, "k", "p").unionByName(trained.score(task.test, "k", "p"))
 
 
 def feature_importance_(spark, sf):
     task = _task(spark, sf)
-    return learn.feature_importance(learn.gbt_train(task.train, task.features, task.label, SMALL), spark)
+    return learn.feature_importance(learn.gbt_train(task.train, task.features, task.label, FULL), spark)
 
 
 def ignored_features_(spark, sf):
     """Importances of a learner that was not given some features."""
     task = _task(spark, sf)
-    trained = learn.gbt_train(task.train, task.features, task.label, SMALL, ignored=["m", "v__ANDREU", "a__ANDREU"])
+    trained = learn.gbt_train(task.train, task.features, task.label, FULL, ignored=["m", "v__ANDREU", "a__ANDREU"])
     return learn.feature_importance(trained, spark)
 
 
@@ -75,7 +79,7 @@ def tree_classify_(spark, sf):
 
 
 def train_eval_(spark, sf):
-    return _one_row(spark, T.train_eval(T.load_pool(_task(spark, sf)), SMALL))
+    return _one_row(spark, T.train_eval(T.load_pool(_task(spark, sf)), FULL))
 
 
 def holdout_by_period_(spark, sf):
@@ -87,16 +91,16 @@ def holdout_by_period_(spark, sf):
 
 def bagging_(spark, sf):
     task = _task(spark, sf)
-    return T.bagging(task.train, task.features, task.label, SMALL, n_models=3).score(task.test, "k", "p")
+    return T.bagging(task.train, task.features, task.label, FULL).score(task.test, "k", "p")
 
 
 def stratified_cv_(spark, sf):
     rows = labelled(spark, sf).withColumn("target", target_train(F.col("clase")))
-    return T.stratified_cv(rows, ["n", "v", "m", "a", "b", "r"], "target", ["k", "p"], SMALL, folds=3, n_models=2)
+    return T.stratified_cv(rows, ["n", "v", "m", "a", "b", "r"], "target", ["k", "p"], SHORT, n_models=2)
 
 
 def stacking_(spark, sf):
-    trained, wide = T.stacking(model_scores(spark, sf), MODELS, SMALL, n_models=2)
+    trained, wide = T.stacking(model_scores(spark, sf), MODELS, SECOND)
     return trained.score(wide, "id")
 
 
@@ -104,13 +108,13 @@ def score_and_rank_(spark, sf):
     """Learn on orders of closed status, rank the others."""
     scores, orders = model_scores(spark, sf), table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), "o_orderdate")
     dated = scores.join(orders, "id")
-    trained, _ = T.stacking(dated.where(F.col("o_orderdate") < "1999-01-01").drop("o_orderdate"), MODELS, SMALL, n_models=2)
+    trained, _ = T.stacking(dated.where(F.col("o_orderdate") < "1999-01-01").drop("o_orderdate"), MODELS, SECOND)
     return T.score_and_rank(trained, dated.where(F.col("o_orderdate") >= "1999-01-01").drop("o_orderdate"), MODELS)
 
 
 def grid_cv_(spark, sf):
     task = _task(spark, sf)
-    return T.grid_cv(task.train, task.features, task.label, depths=(2, 3, 4), folds=3, params=SMALL)
+    return T.grid_cv(task.train, task.features, task.label, params=SHORT)
 
 
 def param_sweep_(spark, sf):
@@ -121,15 +125,21 @@ def param_sweep_(spark, sf):
 
 
 def repeat_trial_(spark, sf):
-    return _one_row(spark, T.repeat_trial(T.load_pool(_task(spark, sf)), SMALL, repeats=3))
+    return _one_row(spark, T.repeat_trial(T.load_pool(_task(spark, sf)), SHORT, repeats=3))
 
 
 def plan_runner_(spark, sf):
-    """The ledger after two plans, made from the newest months of the table."""
+    """The ledger after two plans, which together use all months of the table but one between train and test."""
     ledger = Ledger(spark, scratch_path(spark, "ledger"))
     rows = panel.panel_features(labelled(spark, sf), TREND)
-    months = [r["p"] for r in rows.select("p").distinct().orderBy(F.col("p").desc()).limit(8).collect()]
-    wanted = [(1, f"{months[5]}, {months[4]}", str(months[2])), (2, f"{months[7]}, {months[6]}, {months[5]}", str(months[3]))]
+    # One row per month.
+    months = [r["p"] for r in labelled(spark, sf).select("p").distinct().orderBy("p").collect()]
+    third = len(months) // 3
+    listed = lambda part: ", ".join(map(str, part))
+    wanted = [
+        (1, listed(months[:third]), listed(months[third + 1 : 2 * third])),
+        (2, listed(months[: 2 * third]), listed(months[2 * third + 1 :])),
+    ]
     ledger.add_plans(spark.createDataFrame(wanted, "id int, train string, test string").withColumn("finished", F.lit(None)))
 
     def load(train_periods, test_periods):
@@ -138,7 +148,7 @@ def plan_runner_(spark, sf):
             train.withColumn("target", target_train(F.col("clase"))), test.withColumn("target", target_test(F.col("clase"))), FEATURES, ("k", "p")
         )
 
-    T.plan_runner(ledger, load, SMALL)
+    T.plan_runner(ledger, load, SHORT)
     return ledger.experiments().join(ledger.plans().select(F.col("id").alias("plan_id"), F.col("finished").isNotNull().alias("done")), "plan_id").select(
         "id", "plan_id", "done", "train_periods", "test_periods", "profit", "cutoff", "auc_testing", "logloss_testing", "perfect_profit_ratio"
     )

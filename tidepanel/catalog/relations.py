@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidepanel.catalog.panels import CURVE, FOLDS, folded
@@ -252,6 +255,12 @@ f AS (SELECT p, count(*) FILTER (class = 1) * 11700 AS perfect_profit FROM score
 SELECT p, profit, perfect_profit, round(profit::DOUBLE / nullif(perfect_profit, 0)::DOUBLE, 5) AS ratio FROM b JOIN f USING (p)"""
 
 
+def best_cutoff_(spark, sf):
+    """All three ways to settle ties, from one sweep."""
+    sweep = pinned(evaluate.cutoff_sweep(scores(spark, sf)))
+    return reduce(DataFrame.unionByName, [evaluate.best_cutoff(sweep, tie).withColumn("tie", F.lit(tie)) for tie in ("min", "max", "all")])
+
+
 def auc_(spark, sf):
     """Over all rows (month 0) and per month."""
     rows = scores(spark, sf)
@@ -428,9 +437,7 @@ FROM scores, (VALUES (11700), (11000)) AS gains(g) GROUP BY g""",
         with_(SWEEP) + "SELECT k, cutoff, profit FROM sweep",
     ),
     "best_cutoff": Query(
-        lambda spark, sf: evaluate.best_cutoff(evaluate.cutoff_sweep(scores(spark, sf)), "min").withColumn("tie", F.lit("min"))
-        .unionByName(evaluate.best_cutoff(evaluate.cutoff_sweep(scores(spark, sf)), "max").withColumn("tie", F.lit("max")))
-        .unionByName(evaluate.best_cutoff(evaluate.cutoff_sweep(scores(spark, sf)), "all").withColumn("tie", F.lit("all"))),
+        best_cutoff_,
         with_(SWEEP) + """, top AS (SELECT * FROM sweep WHERE profit = (SELECT max(profit) FROM sweep))
 SELECT min(cutoff) AS cutoff, max(profit) AS profit, 'min' AS tie FROM top
 UNION ALL SELECT max(cutoff), max(profit), 'max' FROM top UNION ALL SELECT cutoff, profit, 'all' FROM top""",

@@ -86,11 +86,25 @@ def reorder_column(df: DataFrame, column: str) -> DataFrame:
     return df.select(*[c for c in df.columns if c != column], column)
 
 
+MAX_LEVELS = 10_000
+
+
+def check_levels(train: DataFrame, columns: Sequence[str], most: int = MAX_LEVELS) -> None:
+    """Level lists are held by the driver and by each split's histogram: more than ``most`` levels are an error, none is dropped."""
+    if not columns:
+        return
+    found = train.agg(*[F.count_distinct(F.col(c)).alias(c) for c in columns]).first().asDict()
+    too_many = {c: n for c, n in found.items() if n > most}
+    if too_many:
+        raise ValueError(f"more than {most} levels: {too_many}")
+
+
 def categorical_encoder(train: DataFrame, columns: Sequence[str], suffix: str = "_code") -> PipelineModel:
     """Level codes in alphabetic order, learnt from the train table; unseen levels get one more code."""
     from pyspark.ml import Pipeline
 
     _known(train, columns)
+    check_levels(train, columns)
     indexers = [
         StringIndexer(inputCol=c, outputCol=c + suffix, handleInvalid="keep", stringOrderType="alphabetAsc") for c in columns
     ]

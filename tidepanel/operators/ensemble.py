@@ -7,9 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidepanel.functions.columns import complement, row_mean
+from tidepanel.functions.columns import complement, row_mean, no_nan
 from tidepanel.operators.running import numbered
-from tidepanel.session import pinned
+from tidepanel.session import pinned, small
 
 
 def ensemble_full_join(scores: DataFrame, models: Sequence, id: str = "id", model: str = "model", prob: str = "prob", label: str | None = "class") -> DataFrame:
@@ -87,8 +87,9 @@ def stratified_folds(df: DataFrame, label: str, id: str, folds: int = 10, seed:
         .groupBy("__label")
         .agg(F.sort_array(F.collect_list(F.struct("__part", "__end"))).alias("__ends"))
     )
-    # One row per class; written, so that each use of the folds only looks them up.
-    ends = pinned(ends)
+    # One row per class; written, so that each use of the folds only looks them up,
+    # and broadcast if there are few, so that a class with most rows isn't shuffled to one task.
+    ends = small(pinned(ends))
     placed = df.withColumn("__at", _position(id, seed)).join(ends, F.col(label).eqNullSafe(F.col("__label")))
     reached = F.filter("__ends", lambda e: e["__end"] >= F.col("__at"))[0]["__part"]
     return placed.select(*df.columns, (reached + 1).alias(name))
@@ -105,13 +106,13 @@ def fold_split(df: DataFrame, i: int, fold: str = "fold") -> tuple[DataFrame, Da
 
 
 def rank_ids(df: DataFrame, id: str = "id", prob: str = "prob") -> DataFrame:
-    """Rank 1 for the highest score; equal scores by id."""
-    return numbered(df.select(id, prob), [F.col(prob).desc(), F.col(id).asc()], "rank")
+    """Rank 1 for the highest score; equal scores by id, rows without a score last."""
+    return numbered(df.select(id, prob), [no_nan(F.col(prob)).desc_nulls_last(), F.col(id).asc()], "rank")
 
 
 def top_n_ids(df: DataFrame, n: int = 7664, id: str = "id", prob: str = "prob") -> DataFrame:
-    """The n highest scores; each task keeps at most n rows."""
-    return df.select(id, prob).orderBy(F.col(prob).desc(), F.col(id).asc()).limit(n)
+    """The n highest scores, rows without a score last; each task keeps at most n rows."""
+    return df.select(id, prob).orderBy(no_nan(F.col(prob)).desc_nulls_last(), F.col(id).asc()).limit(n)
 
 
 def downsample_majority(df: DataFrame, label: str, majority: str, id: str, ratio: float = 1.5, seed: int = 1) -> DataFrame:

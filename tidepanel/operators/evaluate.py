@@ -112,11 +112,11 @@ def profit_curve(
 ) -> DataFrame:
     """Rows from the highest score down, with their rank and the profit so far.
 
-    Equal scores follow each other by id, so the curve is the same in every run.
+    Equal scores follow each other by id, so the curve is the same in every run; rows without a score come last.
     """
     return running_totals(
         df,
-        [F.col(prob).desc(), F.col(id).asc()],
+        [no_nan(F.col(prob)).desc_nulls_last(), F.col(id).asc()],
         sums={"rank": F.lit(1).cast("bigint"), "profit_acum": payoff(F.col(label), gain, cost)},
         by=by,
     )
@@ -154,9 +154,9 @@ def auc(df: DataFrame, prob: str = "prob", label: str = "class", by: Sequence[st
     """Area under the ROC curve, exact and with ties counted half.
 
     Rows are merged by score first; the rank of a score is the running count of
-    lower ones. Null when one of the classes is absent.
+    lower ones. Null when one of the classes is absent. Rows without a score or label are left out.
     """
-    merged = df.where(F.col(prob).isNotNull() & F.col(label).isNotNull()).groupBy(*by, prob).agg(
+    merged = df.where(no_nan(F.col(prob)).isNotNull() & F.col(label).isNotNull()).groupBy(*by, prob).agg(
         F.count(F.lit(1)).alias("__n"), F.count(F.when(F.col(label) == 1, F.lit(1))).alias("__pos")
     )
     ranked = running_totals(merged, [F.col(prob).asc()], sums={"__upto": F.col("__n")}, by=by)
@@ -170,8 +170,11 @@ def auc(df: DataFrame, prob: str = "prob", label: str = "class", by: Sequence[st
 
 
 def logloss_term(prob: Column, label: Column, eps: float = 1e-15) -> Column:
-    p = F.greatest(F.least(prob, F.lit(1 - eps)), F.lit(eps))
-    return -F.when(label == 1, F.ln(p)).otherwise(F.ln(F.lit(1.0) - p))
+    """Null without a score or label, so that a mean passes over the row."""
+    known = no_nan(prob)
+    p = F.greatest(F.least(known, F.lit(1 - eps)), F.lit(eps))
+    term = F.when(label == 1, F.ln(p)).otherwise(F.ln(F.lit(1.0) - p))
+    return F.when(known.isNotNull() & label.isNotNull(), -term)
 
 
 def logloss(df: DataFrame, prob: str = "prob", label: str = "class", eps: float = 1e-15, by: Sequence[str] = ()) -> DataFrame:

@@ -5,20 +5,20 @@ from __future__ import annotations
 from collections.abc import Iterable, Sequence
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidepanel.operators.clean import missing_shares
 from tidepanel.operators.running import running_totals
+from tidepanel.session import pinned, small
 
 
 def class_distribution(df: DataFrame, label: str, digits: int = 4) -> DataFrame:
-    """Share of each class in percent of this table's rows."""
-    total = df.agg(F.count(F.lit(1))).scalar()
-    return (
-        df.groupBy(label)
-        .agg(F.count(F.lit(1)).alias("n"))
-        .select(label, "n", F.round(F.col("n") * F.lit(100.0) / total, digits).alias("percent"))
-    )
+    """Share of each class in percent of this table's rows; the table is read once."""
+    counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
+    # A window over one row per class.
+    total = F.sum("n").over(W.partitionBy())
+    return counts.select(label, "n", F.round(F.col("n") * F.lit(100.0) / total, digits).alias("percent"))
 
 
 def class_counts(df: DataFrame, label: str, fold: str | None = None) -> DataFrame:
@@ -78,11 +78,12 @@ def exact_quantiles(df: DataFrame, value: str, quantiles: dict[str, float], by:
     only the values at the wanted positions are kept.
     """
     by = list(by)
-    merged = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("__n"))
+    # Written once: both the running counts and the group sizes come from it.
+    merged = pinned(df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("__n")))
     placed = running_totals(merged, [F.col(value).asc()], sums={"__upto": F.col("__n")}, by=by)
     sizes = merged.groupBy(*by).agg(F.sum("__n").alias("__size"))
     if by:
-        keys = sizes.select(*[F.col(c).alias(f"__by_{c}") for c in by], "__size")
+        keys = small(pinned(sizes.select(*[F.col(c).alias(f"__by_{c}") for c in by], "__size")))
         same = [F.col(c).eqNullSafe(F.col(f"__by_{c}")) for c in by]
         sized = placed.join(keys, same).drop(*[f"__by_{c}" for c in by])
     else:
@@ -119,6 +120,8 @@ def _with_hinges(df: DataFrame, value: str, by: str, reach: float) -> DataFrame:
         (F.col("lower") - step).alias("__low"), (F.col("upper") + step).alias("__high"),
     )
     rows = df.select(by, value).where(F.col(value).isNotNull())
+    # Few groups are broadcast, so that a group with most rows isn't shuffled to one task.
+    fences = small(pinned(fences))
     return rows.join(fences, F.col(by).eqNullSafe(F.col("__by"))).drop("__by")
 
 

@@ -6,18 +6,21 @@ add the trends of all remaining columns, label, drop what must not be learnt.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidepanel.functions.columns import bin_age, target_test, target_train
 from tidepanel.functions.derived import add_present_features
-from tidepanel.functions.periods import periods_needed
+from tidepanel.functions.periods import days_to_snapshot, periods_needed
 from tidepanel.operators.clean import drop_columns, select_trend_columns
 from tidepanel.operators.panel import BACKWARD, PanelSpec, panel_features
 from tidepanel.sources import schema as S
+from tidepanel.sources.readers import scan_master
+from tidepanel.sources.writers import write_by_period
 
 
 @dataclass(frozen=True)
@@ -41,12 +44,14 @@ class DatasetSpec:
     max_min: bool = False
 
 
-def load_dataset(df: DataFrame, periods: Iterable[int], spec: DatasetSpec = DatasetSpec()) -> DataFrame:
-    """Rows of the periods with all features; earlier months are read only if a trend needs them."""
-    periods = list(periods)
+def load_dataset(df: DataFrame, periods: Iterable[int] | None = None, spec: DatasetSpec = DatasetSpec()) -> DataFrame:
+    """Rows of the periods (None: of all) with all features; earlier months are read only if a trend needs them."""
+    periods = None if periods is None else list(periods)
     flags = {n: getattr(spec, n) for n in ("growth_poly", "growth_findiff", "accel_poly", "accel_findiff", "trend_relative", "max_min")}
-    months = periods_needed(periods, BACKWARD) if any(flags.values()) else periods
-    rows = drop_columns(df.where(F.col(spec.period).isin(months)), spec.unused)
+    if periods is not None:
+        months = periods_needed(periods, BACKWARD) if any(flags.values()) else periods
+        df = df.where(F.col(spec.period).isin(months))
+    rows = drop_columns(df, spec.unused)
     if spec.derived:
         rows = add_present_features(rows)
     if spec.age:
@@ -56,6 +61,14 @@ def load_dataset(df: DataFrame, periods: Iterable[int], spec: DatasetSpec = Data
     return drop_columns(panel_features(rows, panel, periods), spec.drop_last)
 
 
+def master_to_months(
+    spark: SparkSession, source: str, target: str, schema: T.StructType, dates: Sequence[str] = S.DATE_COLUMNS, period: str = S.PERIOD
+) -> None:
+    """The master file to monthly folders, with the listed integer dates as days before the end of the snapshot month."""
+    rows = scan_master(spark, source, schema)
+    write_by_period(rows.withColumns({c: days_to_snapshot(F.col(period), F.col(c)) for c in dates}), target, period)
+
+
 def labelled_for_training(df: DataFrame, label: str = S.LABEL) -> DataFrame:
     """``target`` in place of the class: any kind of leaving counts."""
     return df.withColumn("target", target_train(F.col(label))).drop(label)

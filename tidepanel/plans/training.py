@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from tidepanel.operators import ensemble, evaluate
 from tidepanel.operators.ledger import Ledger
 from tidepanel.operators.learn import FEATURES, LearnerParams, Preparation, Trained, prepare
-from tidepanel.session import pinned
+from tidepanel.session import pinned, shared_dir
 
 
 def holdout_by_period(df: DataFrame, period: str, train_periods: Sequence[int], test_periods: Sequence[int]) -> tuple[DataFrame, DataFrame]:
@@ -129,6 +129,7 @@ def _mean_metrics(runs: Sequence[Mapping]) -> dict:
 
 def repeat_trial(pool: Pool, params: LearnerParams = LearnerParams(), repeats: int = 3, cutoff: float | None = None) -> dict:
     """Mean metrics of several trainings that differ in their seed."""
+    params.seeds_matter(repeats)
     return _mean_metrics([train_eval(pool, replace(params, seed=seed), cutoff) for seed in range(1, repeats + 1)])
 
 
@@ -143,6 +144,8 @@ def bagging(
     categorical: Sequence[str] = (), parallelism: int = 2,
 ) -> Trained:
     """Models that differ in their seed, on one cached feature table; their mean is the score."""
+    params.seeds_matter(n_models)
+    shared_dir(train.sparkSession)
     known = train.where(F.col(label).isNotNull())
     preparation = prepare(known, features, categorical)
     table = preparation.apply(known, label).persist(StorageLevel.MEMORY_AND_DISK)
@@ -208,6 +211,7 @@ def grid_cv(
     params: LearnerParams = LearnerParams(iterations=100, border_count=64), categorical: Sequence[str] = (), parallelism: int = 2,
 ) -> DataFrame:
     """Mean cross-validated AUC for each depth; one row per depth."""
+    shared_dir(train.sparkSession)
     known = train.where(F.col(label).isNotNull())
     preparation = prepare(known, features, categorical)
     estimator = params.estimator(label, preparation.largest_category)

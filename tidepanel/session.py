@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 # HotSpot never compiles methods above this size, so a fused stage beyond it would run
@@ -60,6 +61,11 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/tidepanel-scratch/{name}-{uuid.uuid4().hex}"
 
 
+def small(df: DataFrame, rows: int = 10_000) -> DataFrame:
+    """Marks a narrow, written ``df`` for broadcast if it has at most ``rows`` rows; else the join stays a shuffle."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def pinned(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the shared folder, so that later uses read the same rows.
 

@@ -1,4 +1,4 @@
-"""Readers. All take a schema: nothing is inferred, so no file is read twice."""
+"""Readers. All take a schema: nothing is inferred, so no file is read twice. A value of another type stops the load."""
 
 from __future__ import annotations
 
@@ -17,6 +17,7 @@ def _tsv(spark: SparkSession, schema: T.StructType, header: bool, null_token: st
         .option("header", str(header).lower())
         .option("nullValue", null_token)
         .option("enforceSchema", "false" if header else "true")
+        .option("mode", "FAILFAST")
     )
 
 
@@ -44,7 +45,7 @@ def scan_master(spark: SparkSession, path: str, schema: T.StructType) -> DataFra
 
 def read_typed(spark: SparkSession, path: str | list[str], schema: T.StructType) -> DataFrame:
     """Delimited files under a fixed schema; a value of another type stops the load."""
-    return _tsv(spark, schema, header=True).option("mode", "FAILFAST").csv(path)
+    return _tsv(spark, schema, header=True).csv(path)
 
 
 def bulk_load_typed(
@@ -77,7 +78,7 @@ def scan_predictions(spark: SparkSession, files: Mapping[str, str], schema: T.St
     """Prediction files, one per model, as one long table (id, model, prob, class)."""
     id_column = schema.fieldNames()[0]
     parts = [
-        spark.read.schema(schema).option("header", "true").csv(path).withColumn("model", F.lit(model))
+        spark.read.schema(schema).option("header", "true").option("mode", "FAILFAST").csv(path).withColumn("model", F.lit(model))
         for model, path in files.items()
     ]
     stacked = reduce(DataFrame.unionByName, parts)
