@@ -29,7 +29,7 @@ from tidepanel.llm.common import narrowed
 
 SEQUENCE = 2048
 END_ID = 1
-CACHED_UNITS = 400_000
+CACHED_UNITS = 200_000
 # A space beside white space belongs to a run of it, and a run must stay in one piece.
 BESIDE_SPACE = re.compile(r"\s | \s|^ | \Z")
 

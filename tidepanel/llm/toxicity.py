@@ -38,7 +38,7 @@ FOLDS = 5
 # FTRL-proximal: learning rate, its smoothing, L1 and L2 terms, passes over the sample.
 ALPHA, BETA, L1, L2, EPOCHS = 2.0, 1.0, 4.0, 0.0, 5
 STEMS = (4, 7)
-CACHED_WORDS = 300_000
+CACHED_WORDS = 100_000
 _WORD = re.compile(r"\w+")
 _BIAS = DIMENSIONS
 
