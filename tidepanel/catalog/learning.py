@@ -1,6 +1,6 @@
 """Learning and model selection, on supplier months whose class comes from the months after.
 
-Single trainings use 50 rounds of depth 6; bags, stacks and rankings ten models.
+Single trainings use 50 rounds of depth 6; bags, stacks and rankings ten models of 10 rounds.
 The searches are cut short and say so where they are called: their full sizes are
 the defaults of the jobs.
 """
@@ -18,9 +18,9 @@ from tidepanel.plans import training as T
 from tidepanel.session import scratch_path
 
 FULL = LearnerParams(iterations=50, depth=6)
-SECOND = LearnerParams(iterations=50, depth=2)
 # For jobs of many trainings.
 SHORT = LearnerParams(iterations=10, depth=4, border_count=64, learning_rate=0.2)
+SECOND = LearnerParams(iterations=10, depth=2, learning_rate=0.2)
 TREND = panel.PanelSpec(key="k", period="p", features=("v", "a"), growth_findiff=False, accel_findiff=False)
 FEATURES = (
     "n", "v", "m", "a", "b", "r", "v__CREC_POLI", "v__ACEL_POLI", "v__ACEL_POLI__CAT_POLI", "v__ANDREU",
@@ -91,7 +91,7 @@ def holdout_by_period_(spark, sf):
 
 def bagging_(spark, sf):
     task = _task(spark, sf)
-    return T.bagging(task.train, task.features, task.label, FULL).score(task.test, "k", "p")
+    return T.bagging(task.train, task.features, task.label, SHORT).score(task.test, "k", "p")
 
 
 def stratified_cv_(spark, sf):
