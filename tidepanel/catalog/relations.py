@@ -172,10 +172,9 @@ def rows_at_group_max_(spark, sf):
     )
 
 
-ROWS_AT_MAX_SQL = with_(EXPERIMENTS) + """
-SELECT plan_id, min(id) AS id, max(profit) AS profit, arg_min(cutoff, id) AS cutoff, arg_min(perfect_profit_ratio, id) AS perfect_profit_ratio,
-       arg_min(train_periods, id) AS train_periods, arg_min(test_periods, id) AS test_periods, arg_min(experiment_code, id) AS experiment_code
-FROM experiments ee WHERE profit >= (SELECT max(e.profit) FROM experiments e WHERE e.plan_id = ee.plan_id) GROUP BY plan_id"""
+ROWS_AT_MAX_SQL = with_(EXPERIMENTS, """placed AS (
+  SELECT *, row_number() OVER (PARTITION BY plan_id ORDER BY profit DESC, id) AS place FROM experiments)""") + """
+SELECT plan_id, id, profit, cutoff, perfect_profit_ratio, train_periods, test_periods, experiment_code FROM placed WHERE place = 1"""
 
 
 def box_stats_(spark, sf):
