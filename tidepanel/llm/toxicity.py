@@ -77,7 +77,7 @@ def sigmoid(z: float) -> float:
 
 
 def fit(examples: list[tuple[np.ndarray, int]]) -> tuple[np.ndarray, np.ndarray]:
-    """(features, weights) that are not zero, after passes of FTRL-proximal over the examples in order."""
+    """(features, weights) that are not zero, after passes of FTRL-proximal over the examples in order; each has the bias too."""
     z, n = np.zeros(DIMENSIONS + 1), np.zeros(DIMENSIONS + 1)
 
     def weights(i: np.ndarray) -> np.ndarray:
@@ -86,7 +86,9 @@ def fit(examples: list[tuple[np.ndarray, int]]) -> tuple[np.ndarray, np.ndarray]
         return np.where(np.abs(zi) <= l1, 0.0, (np.sign(zi) * l1 - zi) / ((BETA + np.sqrt(ni)) / ALPHA + L2))
 
     for _ in range(EPOCHS):
-        for i, y in examples:
+        for found, y in examples:
+            # Put together here, so that the sample is held once.
+            i = np.append(found, _BIAS)
             w = weights(i)
             g = sigmoid(w.sum()) - y
             sigma = (np.sqrt(n[i] + g * g) - np.sqrt(n[i])) / ALPHA
@@ -103,7 +105,7 @@ def _fit_sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order, label, found = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)
         rows += [(o, y, found[k].values.to_numpy()) for k, (o, y) in enumerate(zip(order, label, strict=True))]
     rows.sort(key=lambda r: (r[0], r[1], len(r[2]), r[2].tobytes()))
-    i, w = fit([(np.append(f, np.int32(_BIAS)), y) for _, y, f in rows])
+    i, w = fit([(f, y) for _, y, f in rows])
     yield pa.record_batch([pa.array(i, pa.int64()), pa.array(w, pa.float64())], names=["feature", "weight"])
 
 
