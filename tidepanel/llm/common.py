@@ -4,17 +4,28 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidepanel.session import pinned
 
 # A row of a key list takes about 50 bytes on an executor: 100,000 rows are some 5 MB.
 BROADCAST_ROWS = 100_000
+# Texts go to Python in batches of about this size: by rows alone, long texts would fill executors and workers.
+BATCH_BYTES = 8 << 20
+_SPARK_BATCH_BYTES = 64 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Ends Arrow batches at ``BATCH_BYTES`` too (a row is never cut); a value set by the caller stays."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name, str(_SPARK_BATCH_BYTES)).rstrip("bB") == str(_SPARK_BATCH_BYTES):
+        spark.conf.set(name, str(BATCH_BYTES))
 
 
 def narrowed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Only (doc_id, text): other columns, whatever their names, cannot get in the way. Null text is empty."""
+    bound_batches(df.sparkSession)
     return df.select(
         F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")
     )

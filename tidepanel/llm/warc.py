@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidepanel.llm.common import same_key, small_side
+from tidepanel.llm.common import bound_batches, same_key, small_side
 from tidepanel.session import pinned, scratch_path
 
 ARCHIVE_BYTES = 16 << 20
@@ -149,6 +149,7 @@ def write_archives(
     attempt that succeeded are listed: a lost executor leaves nothing wrong behind.
     Payloads are not shuffled as long as the list of revisits is short.
     """
+    bound_batches(pages.sparkSession)
     rows = pages.select(
         F.col(id_col).cast("bigint").alias("page_id"), F.col(url_col).cast("string").alias("url"),
         F.encode(F.coalesce(F.col(payload_col).cast("string"), F.lit("")), "UTF-8").alias("payload"),
