@@ -223,3 +223,23 @@ def test_chat(spark):
     assert text[1].count(chat.START) == 4 and text[1].count(chat.END) == 4  # adjacent turns of one role share a block
     assert all(re.fullmatch(r"(?:<\|(?:start|and|end)\|>|<~|<n|\[~|[^<\[])*", t) for t in text.values())
     assert chat.digests(chat.format_chats(turns.filter("false"))).count() == 0
+
+
+def test_batches_end_by_bytes_and_callers_keep_their_limit(spark):
+    from tidepanel.llm.common import BATCH_BYTES, bound_batches
+
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    try:
+        spark.conf.unset(name)
+        bound_batches(spark)
+        assert int(spark.conf.get(name).rstrip("bB")) == BATCH_BYTES
+        spark.conf.set(name, "1000")
+        bound_batches(spark)
+        assert int(spark.conf.get(name).rstrip("bB")) == 1000
+        # Texts longer than the limit stay whole, each in a batch of its own.
+        docs = spark.createDataFrame([(i, "word " * (100 + 400 * i)) for i in range(4)], "doc_id bigint, text string")
+        counted = {r["doc_id"]: r["n_bytes"] for r in token_counts.count_tokens(docs, PIECES).collect()}
+        assert counted == {i: 5 * (100 + 400 * i) for i in range(4)}
+    finally:
+        spark.conf.set(name, before)
