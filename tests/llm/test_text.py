@@ -127,6 +127,15 @@ def test_distance():
         assert index.distance(0, index.symbols(text).tolist())[0] == plain_distance(item, text)
 
 
+def test_blocks_of_the_benchmark(spark, docs, monkeypatch):
+    """Several blocks find what one does, whatever the table of random bits."""
+    benchmark = spark.read.parquet(f"{SF}/benchmark.parquet")
+    whole = sorted(map(tuple, decontaminate.find_leaks(docs, benchmark, recall=0.99).filter("distance = 0").collect()))
+    monkeypatch.setattr(decontaminate, "BLOCK_WORDS", 500)
+    parts = sorted(map(tuple, decontaminate.find_leaks(docs, benchmark, recall=0.99).filter("distance = 0").collect()))
+    assert whole and parts == whole
+
+
 def test_find_leaks(spark, docs, empty):
     benchmark = spark.read.parquet(f"{SF}/benchmark.parquet")
     got = {(r["doc_id"], r["item_id"]): r["distance"] for r in decontaminate.find_leaks(docs, benchmark).collect()}
@@ -138,11 +147,12 @@ def test_find_leaks(spark, docs, empty):
     assert left.columns == docs.columns and {r.doc_id for r in left.collect()} == {r.doc_id for r in docs.collect()} - {d for d, _ in want}
 
 
-def test_recall_at_the_largest_distance(spark):
+@pytest.mark.parametrize("shortest, longest", [(14, 60), (90, 400)])
+def test_recall_at_the_largest_distance(spark, shortest, longest):
     """Items with 20 % of their words changed, dropped or added, in the middle of other words."""
     rng = random.Random(9)
     words = [f"w{i}" for i in range(900)]
-    items = [(i, [rng.choice(words) for _ in range(rng.randint(14, 60))]) for i in range(120)]
+    items = [(i, [rng.choice(words) for _ in range(rng.randint(shortest, longest))]) for i in range(120)]
     rows = []
     for i, x in items:
         y = list(x)

@@ -6,8 +6,8 @@ longer one: step j writes the current word and moves on if a random bit of
 so edit distance becomes Hamming distance, and sampled steps serve as LSH keys.
 Keys are taken from windows of the items' sizes (items are grouped into sizes
 that differ by a tenth) at each start that the bound below allows. Repetitions
-are added until pairs at the largest allowed distance, drawn at random, meet
-with the target recall. Each document and item that meet are verified by the
+are added until pairs of the longest item's size at the largest allowed
+distance, drawn at random, meet with the target recall and a margin. Each document and item that meet are verified by the
 exact edit distance between the item and the best matching part of the text.
 
 Bound. A part within k edits of an item of n words shares at least n - 1 - 2k
@@ -15,7 +15,10 @@ word pairs with it. Starts whose surroundings hold fewer pairs known from any
 item cannot match and are not embedded. This loses nothing.
 
 The benchmark is worked through in blocks of at most ``BLOCK_WORDS`` words, so
-what is sent to the executors has a fixed size whatever the benchmark's.
+what is sent to the executors has a bounded size whatever the benchmark's. Each
+block reads the documents once. The walk's random bits are those of a word's
+class, of which there are ``CLASSES``: two words of one class walk alike, but
+their keys and the verification still tell them apart.
 
 Defined results
 * A match is an edit distance of at most ``1 - similarity`` of the item's words (0.2, rounded down).
@@ -40,13 +43,18 @@ from tidepanel.llm.substring_dedup import mixed
 SIMILARITY = 0.8
 RECALL = 0.95
 MIN_WORDS = 8
-BLOCK_WORDS = 20_000
+BLOCK_WORDS = 200_000
+# Size of the table of random bits: 16 MB at most. Later steps use the bits of earlier ones again.
+CLASSES, STEPS = 1024, 2048
 PAIR_SLOTS = 1 << 22
 SAMPLED = 3
 MAX_REPEATS = 48
+# Of longer windows the steps of the first words are sampled: the further a walk goes, the more edits it has to get over.
+SAMPLED_WORDS = 60
+SIMULATED_WORDS = 200
 # Words that are embedded at once; bounds the memory of a task.
 CHUNK_WORDS = 500_000
-PAIRS_AT_ONCE = 40_000
+STARTS_AT_ONCE = 40_000
 _WORD = re.compile(r"\w+")
 UNKNOWN, PAD = 0, 1
 
@@ -72,13 +80,13 @@ def sizes(lengths: list[int]) -> list[int]:
 class Walk:
     """The random bits of the CGK walk and the sampled steps, for each repetition."""
 
-    def __init__(self, symbols: int, longest: int, repeats: int, seed: int = 7):
+    def __init__(self, longest: int, repeats: int, seed: int = 7):
         if repeats > 64:
             raise ValueError("the bits of a step and symbol are kept in one 64-bit number")
         rng = np.random.default_rng(seed)
-        self.steps, self.symbols, self.repeats = 2 * longest, symbols, repeats
+        self.repeats = repeats
         # Bit r of a number is the bit of repetition r.
-        self.moves = rng.integers(0, 1 << 64, (self.steps, symbols), dtype=np.uint64)
+        self.moves = rng.integers(0, 1 << 64, (min(2 * longest, STEPS), CLASSES), dtype=np.uint64)
         self.sampled = np.sort(rng.random((repeats, SAMPLED)), axis=1)
 
     def keys(self, x: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
@@ -87,7 +95,8 @@ class Walk:
         at = np.broadcast_to(starts[:, None], (m, r)).astype(np.int64)
         end = (starts + size)[:, None]
         # Twice the size: a walk of two steps a word reaches the window's end on average.
-        wanted = np.minimum((self.sampled * 2 * size).astype(np.int64), 2 * size - 1)
+        reach = 2 * min(size, SAMPLED_WORDS)
+        wanted = np.minimum((self.sampled * reach).astype(np.int64), reach - 1)
         key = np.zeros((m, r), np.uint64)
         rep = np.arange(r, dtype=np.uint64)
         for j in range(int(wanted.max()) + 1):
@@ -96,15 +105,18 @@ class Walk:
                 hit = np.flatnonzero(wanted[:, s] == j)
                 if len(hit):
                     key[:, hit] = key[:, hit] * np.uint64(0x9E3779B97F4A7C15) + now[:, hit].astype(np.uint64) + np.uint64(1)
-            at = at + ((self.moves[j][now] >> rep) & np.uint64(1)).astype(np.int64)
+            at = at + ((self.moves[j % len(self.moves)][now & (CLASSES - 1)] >> rep) & np.uint64(1)).astype(np.int64)
         key ^= key >> np.uint64(29)
         return key * np.uint64(0xBF58476D1CE4E5B9) + rep
 
 
-def repeats_for(recall: float, similarity: float, length: int = 36, trials: int = 200, vocabulary: int = 500) -> int:
-    """Repetitions after which random pairs at the largest allowed distance meet with the given recall."""
+def repeats_for(recall: float, similarity: float, length: int, trials: int = 400, vocabulary: int = 500) -> int:
+    """Repetitions after which random pairs at the largest allowed distance meet with the given recall.
+
+    The share that met must exceed it by two standard errors, as it is an estimate.
+    """
     rng = np.random.default_rng(11)
-    walk = Walk(vocabulary, length + length // 2, MAX_REPEATS)
+    walk = Walk(length + length // 2, MAX_REPEATS)
     left, right = [], []
     for _ in range(trials):
         a = rng.integers(2, vocabulary, length)
@@ -125,7 +137,7 @@ def repeats_for(recall: float, similarity: float, length: int = 36, trials: int
     kb = walk.keys(np.array(right), (begins[:, None] + np.arange(7)).reshape(-1), length).reshape(trials, 7, -1)
     met = (ka == kb).any(axis=1)
     found = np.logical_or.accumulate(met, axis=1).mean(axis=0)
-    enough = np.flatnonzero(found >= recall)
+    enough = np.flatnonzero(found >= recall + 2 * (recall * (1 - recall) / trials) ** 0.5)
     return int(enough[0]) + 1 if len(enough) else MAX_REPEATS
 
 
@@ -143,7 +155,7 @@ class Index:
         self.pairs = np.zeros(PAIR_SLOTS, bool)
         for x in self.items:
             self.pairs[self.slots(x)] = True
-        self.walk = Walk(self.scale, max(map(len, self.items)), repeats)
+        self.walk = Walk(max(map(len, self.items)), repeats)
         self.keys, self.owners, self.least, self.reach = {}, {}, {}, {}
         for k, size in enumerate(self.sizes):
             above = self.sizes[k + 1] if k + 1 < len(self.sizes) else 1 << 30
@@ -155,12 +167,7 @@ class Index:
             lengths = [len(self.items[i]) for i in own]
             self.least[size] = max(1, min(n - 1 - 2 * allowed(n, similarity) for n in lengths))
             self.reach[size] = max(n + allowed(n, similarity) for n in lengths)
-        self.masks = []
-        for x in self.items:
-            mask: dict[int, int] = {}
-            for p, s in enumerate(x.tolist()):
-                mask[s] = mask.get(s, 0) | 1 << p
-            self.masks.append(mask)
+        self.masks: dict[int, dict[int, int]] = {}
 
     def slots(self, x: np.ndarray) -> np.ndarray:
         codes = (x[:-1] * self.scale + x[1:]).astype(np.uint64)
@@ -177,8 +184,8 @@ class Index:
         for size in self.sizes:
             far = np.minimum(np.arange(len(x)) + self.reach[size] - 1, len(known) - 1)
             starts = np.flatnonzero((x > PAD) & (known[far] - known[np.minimum(np.arange(len(x)), len(known) - 1)] >= self.least[size]))
-            for at in range(0, len(starts), PAIRS_AT_ONCE):
-                part = starts[at : at + PAIRS_AT_ONCE]
+            for at in range(0, len(starts), STARTS_AT_ONCE):
+                part = starts[at : at + STARTS_AT_ONCE]
                 keys = self.walk.keys(x, part, size)
                 low = np.searchsorted(self.keys[size], keys, "left")
                 count = np.searchsorted(self.keys[size], keys, "right") - low
@@ -192,10 +199,19 @@ class Index:
         both = np.unique(np.concatenate(begins) * len(self.items) + np.concatenate(found))
         return both // len(self.items), both % len(self.items)
 
+    def mask(self, item: int) -> dict[int, int]:
+        """Where each word of the item stands, as bits; made when an item is first verified."""
+        if item not in self.masks:
+            mask: dict[int, int] = {}
+            for p, s in enumerate(self.items[item].tolist()):
+                mask[s] = mask.get(s, 0) | 1 << p
+            self.masks[item] = mask
+        return self.masks[item]
+
     def distance(self, item: int, text: list[int]) -> tuple[int, int]:
         """(least edit distance between the item and any part of ``text``, end of the first such part)."""
         m = len(self.items[item])
-        mask, high, full = self.masks[item], 1 << (m - 1), (1 << m) - 1
+        mask, high, full = self.mask(item), 1 << (m - 1), (1 << m) - 1
         up, down, score, best, end = full, 0, m, m, 0
         for j, symbol in enumerate(text, 1):
             eq = mask.get(symbol, 0)
@@ -285,10 +301,11 @@ def find_leaks(
     """(doc_id, item_id, distance, similarity, end_word) for each document that holds an item, and each such item."""
     spark = docs.sparkSession
     texts = narrowed(docs, id_col, text_col)
-    repeats = repeats_for(recall, similarity)
     out = spark.createDataFrame([], "doc_id bigint, item_id bigint, distance bigint, similarity double, end_word bigint")
     for block in blocks(benchmark, item_col, item_text_col):
-        index = Index(block, similarity, repeats)
+        # Longer items need more repetitions, up to a length well above that of the sampled steps.
+        longest = min(max(len(w) for _, w in block), SIMULATED_WORDS)
+        index = Index(block, similarity, repeats_for(recall, similarity, longest))
         found = texts.mapInArrow(_searched(index), "doc_id bigint, item bigint, distance bigint, end_word bigint")
         names = spark.createDataFrame([(k, i, len(w)) for k, (i, w) in enumerate(block)], "k bigint, item_id bigint, n int")
         # At most BLOCK_WORDS / MIN_WORDS rows.
