@@ -188,7 +188,10 @@ def plain_repeats(rows, threshold=13):
     return sorted(out, key=str)
 
 
-def test_remove_repeats(spark, docs, odd, empty):
+@pytest.mark.parametrize("block", [substring_dedup.BLOCK_ROWS, 50])
+def test_remove_repeats(spark, docs, odd, empty, block, monkeypatch):
+    """With blocks as they are and with such small ones that nearly all is compared after the shuffle."""
+    monkeypatch.setattr(substring_dedup, "BLOCK_ROWS", block)
     rng = random.Random(2)
     vocabulary = ["a", "b", "c", "the"]
     noisy = [(rng.randrange(30), " ".join(rng.choice(vocabulary) for _ in range(rng.randrange(80)))) for _ in range(60)]

@@ -15,7 +15,11 @@ Copies. Documents with the same bytes as one of a smaller doc_id repeat it
 whole, so they are found by their hashes first and not extended again.
 
 Both comparisons sort narrow rows by (hash, doc_id) and stream: the first row of
-a run tells the smallest doc_id, so a run of any length takes no memory. Hashes
+a run tells the smallest doc_id, so a run of any length takes no memory. Each
+task settles what it can before the shuffle: of the rows of a block that have
+one hash, only the smallest doc_id has to be compared with other tasks. The rest
+repeats it for certain and is dealt evenly, so that a passage or phrase in a
+third of all documents doesn't gather in one partition. Hashes
 of anchors have 64 bits (a chance hit costs only a needless extension), those of
 windows 128 bits.
 
@@ -44,6 +48,11 @@ NO_ID = (1 << 63) - 1
 # In the place of a window's start: the whole text is a copy.
 COPY = 0xFFFFFFFF
 CACHED_WORDS = 300_000
+# Rows that are compared with each other before they are shuffled.
+BLOCK_ROWS = 400_000
+# States of an anchor's row: not seen elsewhere in its block, the smallest id of several, a larger id.
+ALONE, LEAST, LATER = 0, 1, 2
+_SIGN = np.int64(-(1 << 63))
 
 _ODD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 
@@ -100,14 +109,32 @@ def _batch(schema: pa.Schema, *columns) -> pa.RecordBatch:
     return pa.record_batch([pa.array(c, type=f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
 
+def runs_of(*sorted_keys: np.ndarray) -> np.ndarray:
+    """Where each run of equal keys begins."""
+    turns = np.zeros(max(len(sorted_keys[0]) - 1, 0), bool)
+    for k in sorted_keys:
+        turns |= k[1:] != k[:-1]
+    return np.concatenate(([0], np.flatnonzero(turns) + 1))
+
+
 def _seeds(threshold: int, anchor: int):
-    """(anchor, id): the selected anchors of each document, each once."""
-    schema = pa.schema([("anchor", pa.int64()), ("id", pa.int64())])
+    """(anchor, id, state): the selected anchors of each document, each once."""
+    schema = pa.schema([("anchor", pa.int64()), ("id", pa.int64()), ("state", pa.int8())])
+
+    def settled(anchors: list[np.ndarray], ids: list[np.ndarray]) -> pa.RecordBatch:
+        a, i = np.concatenate(anchors).view(np.int64), np.concatenate(ids)
+        order = np.lexsort((i, a))
+        a, i = a[order], i[order]
+        begins = runs_of(a)
+        lengths = np.diff(np.append(begins, len(a)))
+        later = i > np.repeat(i[begins], lengths)
+        state = np.where(later, LATER, np.repeat(np.where(np.logical_or.reduceat(later, begins), LEAST, ALONE), lengths))
+        return _batch(schema, a, i, state.astype(np.int8))
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHash()
+        out, ids, size = [], [], 0
         for batch in batches:
-            out, ids, size = [], [], 0
             for id_, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 words = text.as_py().split()
                 if len(words) < threshold:
@@ -117,29 +144,33 @@ def _seeds(threshold: int, anchor: int):
                 out.append(own)
                 ids.append(np.full(len(own), id_, np.int64))
                 size += len(own)
-                if size > 200_000:
-                    yield _batch(schema, np.concatenate(out).view(np.int64), np.concatenate(ids))
+                if size > BLOCK_ROWS:
+                    yield settled(out, ids)
                     out, ids, size = [], [], 0
-            if out:
-                yield _batch(schema, np.concatenate(out).view(np.int64), np.concatenate(ids))
+        if out:
+            yield settled(out, ids)
 
     return made
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by (anchor, id), those whose anchor has more than one id."""
+    """Of (anchor, id, state) sorted by anchor and id, those whose anchor has more than one id."""
     anchor, first, told = None, None, True
     for batch in batches:
-        a, i = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        a, i, state = (batch.column(k).to_numpy() for k in range(3))
+        known = state == LATER
+        if known.any():
+            yield pa.record_batch([pa.array(i[known]), pa.array(a[known])], names=["id", "anchor"])
+            a, i, state = a[~known], i[~known], state[~known]
         if not len(a):
             continue
-        begins = np.concatenate(([0], np.flatnonzero(np.diff(a)) + 1))
+        begins = runs_of(a)
         least = i[begins].copy()
         continued = anchor is not None and a[0] == anchor
         if continued:
             least[0] = first
         later = i > np.repeat(least, np.diff(np.append(begins, len(a))))
-        more = np.logical_or.reduceat(later, begins)
+        more = np.logical_or.reduceat(later | (state == LEAST), begins)
         if continued and more[0] and not told:
             yield pa.record_batch([pa.array([first], pa.int64()), pa.array([anchor], pa.int64())], names=["id", "anchor"])
         firsts = begins[1:] if continued else begins
@@ -151,13 +182,24 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _windows(threshold: int, anchor: int):
-    """(w1, w2, id, place) for each distinct window whose anchor is shared; place holds the text's tag and the first start."""
+    """(w1, w2, id, place) for each distinct window whose anchor is shared.
+
+    place holds the text's tag and the first start; it is negative if a smaller id in the block has the window too.
+    """
     schema = pa.schema([("w1", pa.int64()), ("w2", pa.int64()), ("id", pa.int64()), ("place", pa.int64())])
 
+    def settled(rows: list[tuple]) -> pa.RecordBatch:
+        w1, w2, i, place = map(np.concatenate, zip(*rows, strict=True))
+        order = np.lexsort((i, w2, w1))
+        w1, w2, i, place = w1[order], w2[order], i[order], place[order]
+        begins = runs_of(w1, w2)
+        later = i > np.repeat(i[begins], np.diff(np.append(begins, len(i))))
+        return _batch(schema, w1, w2, i, np.where(later, place | _SIGN, place))
+
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHash()
+        out, size = [], 0
         for batch in batches:
-            out, size = [], 0
             plain = [batch.column(k).to_pylist() for k in (1, 2, 5)]
             for id_, tag, copies, text, seeds in zip(*plain, batch.column(3), batch.column(4), strict=True):
                 words = text.as_py().split()
@@ -176,23 +218,27 @@ def _windows(threshold: int, anchor: int):
                 place = (np.int64(tag) << np.int64(32)) | start.astype(np.int64)
                 out.append((w1.view(np.int64), w2.view(np.int64), np.full(len(start), id_, np.int64), place))
                 size += len(start)
-                if size > 100_000:
-                    yield _batch(schema, *map(np.concatenate, zip(*out, strict=True)))
+                if size > BLOCK_ROWS:
+                    yield settled(out)
                     out, size = [], 0
-            if out:
-                yield _batch(schema, *map(np.concatenate, zip(*out, strict=True)))
+        if out:
+            yield settled(out)
 
     return made
 
 
 def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by (w1, w2, id), those that are not at the smallest id of their window."""
+    """Of rows sorted by (w1, w2, id), those that are not at the smallest id of their window; a negative place is known not to be."""
     last, first = None, None
     for batch in batches:
         w1, w2, i, place = (batch.column(k).to_numpy() for k in range(4))
+        known = place < 0
+        if known.any():
+            yield pa.record_batch([pa.array(i[known]), pa.array(place[known] & ~_SIGN)], names=["id", "place"])
+            w1, w2, i, place = (c[~known] for c in (w1, w2, i, place))
         if not len(i):
             continue
-        begins = np.concatenate(([0], np.flatnonzero((np.diff(w1) != 0) | (np.diff(w2) != 0)) + 1))
+        begins = runs_of(w1, w2)
         least = i[begins].copy()
         if last == (int(w1[0]), int(w2[0])):
             least[0] = first
@@ -260,14 +306,16 @@ def remove_repeats(
     firsts = rows.groupBy("h").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first < last")
     copies = rows.join(firsts.select(F.col("h").alias("__h"), "first"), (F.col("h") == F.col("__h")) & (F.col("id") > F.col("first"))).select("id", "tag")
 
-    anchors = texts.select("id", "text").mapInArrow(_seeds(threshold, anchor), "anchor bigint, id bigint")
-    shared = anchors.repartition("anchor").sortWithinPartitions("anchor", "id").mapInArrow(_shared, "id bigint, anchor bigint")
+    anchors = texts.select("id", "text").mapInArrow(_seeds(threshold, anchor), "anchor bigint, id bigint, state tinyint")
+    dealt = F.when(F.col("state") == LATER, F.xxhash64("anchor", "id")).otherwise(F.col("anchor"))
+    shared = anchors.repartition(dealt).sortWithinPartitions("anchor", "id").mapInArrow(_shared, "id bigint, anchor bigint")
     known = shared.withColumn("tag", F.lit(None).cast("bigint")).unionByName(copies.withColumn("anchor", F.lit(None).cast("bigint")))
     seeds = known.groupBy("id").agg(F.collect_list("anchor").alias("seeds"), F.collect_list("tag").alias("copies")).withColumnRenamed("id", "__id")
     # Both joins read the texts with the same columns, so they are shuffled once.
     seeded = texts.join(seeds, F.col("id") == F.col("__id")).select("doc_id", "id", "tag", "text", "seeds", "copies")
     windows = seeded.mapInArrow(_windows(threshold, anchor), "w1 bigint, w2 bigint, id bigint, place bigint")
-    repeated = windows.repartition("w1", "w2").sortWithinPartitions("w1", "w2", "id").mapInArrow(_repeated, "id bigint, place bigint")
+    dealt = F.when(F.col("place") < 0, F.xxhash64("w1", "id", "place")).otherwise(F.col("w1"))
+    repeated = windows.repartition(dealt).sortWithinPartitions("w1", "w2", "id").mapInArrow(_repeated, "id bigint, place bigint")
     repeated = repeated.unionByName(copies.select("id", F.shiftleft("tag", 32).bitwiseOR(F.lit(COPY).cast("bigint")).alias("place")))
     places = repeated.groupBy("id").agg(F.collect_list("place").alias("places")).withColumnRenamed("id", "__id")
     ddl = "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string, spans array<struct<start:bigint,end:bigint>>"
