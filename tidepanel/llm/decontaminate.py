@@ -31,6 +31,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -54,7 +55,7 @@ SAMPLED_WORDS = 60
 SIMULATED_WORDS = 200
 # Words that are embedded at once; bounds the memory of a task.
 CHUNK_WORDS = 500_000
-STARTS_AT_ONCE = 40_000
+STARTS_AT_ONCE = 8_000
 _WORD = re.compile(r"\w+")
 UNKNOWN, PAD = 0, 1
 
@@ -91,23 +92,27 @@ class Walk:
 
     def keys(self, x: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
         """A key for each start and repetition; ``x`` must be padded by ``size`` at its end."""
-        m, r = len(starts), self.repeats
-        at = np.broadcast_to(starts[:, None], (m, r)).astype(np.int64)
-        end = (starts + size)[:, None]
-        # Twice the size: a walk of two steps a word reaches the window's end on average.
         reach = 2 * min(size, SAMPLED_WORDS)
+        # Twice the size: a walk of two steps a word reaches the window's end on average.
         wanted = np.minimum((self.sampled * reach).astype(np.int64), reach - 1)
-        key = np.zeros((m, r), np.uint64)
-        rep = np.arange(r, dtype=np.uint64)
-        for j in range(int(wanted.max()) + 1):
-            now = np.where(at < end, x[np.minimum(at, len(x) - 1)], PAD)
-            for s in range(SAMPLED):
-                hit = np.flatnonzero(wanted[:, s] == j)
-                if len(hit):
-                    key[:, hit] = key[:, hit] * np.uint64(0x9E3779B97F4A7C15) + now[:, hit].astype(np.uint64) + np.uint64(1)
-            at = at + ((self.moves[j % len(self.moves)][now & (CLASSES - 1)] >> rep) & np.uint64(1)).astype(np.int64)
+        # A row for each repetition, the longest walks first: those that are done fall off at the end.
+        order = np.argsort(-wanted[:, -1], kind="stable")
+        wanted, rep = wanted[order], order.astype(np.uint64)[:, None]
+        at, end = np.tile(starts.astype(np.int64), (self.repeats, 1)), starts + size
+        key = np.zeros(at.shape, np.uint64)
+        for j in range(int(wanted[0, -1]) + 1):
+            active = int((wanted[:, -1] >= j).sum())
+            here = at[:active]
+            now = x.take(here, mode="clip")
+            np.copyto(now, PAD, where=here >= end)
+            for row in np.repeat(np.arange(active), (wanted[:active] == j).sum(axis=1)):
+                key[row] = key[row] * np.uint64(0x9E3779B97F4A7C15) + now[row].astype(np.uint64) + np.uint64(1)
+            bits = self.moves[j % len(self.moves)].take(now & (CLASSES - 1))
+            here += (bits >> rep[:active] & np.uint64(1)).view(np.int64)
         key ^= key >> np.uint64(29)
-        return key * np.uint64(0xBF58476D1CE4E5B9) + rep
+        out = np.empty((len(starts), self.repeats), np.uint64)
+        out[:, order] = (key * np.uint64(0xBF58476D1CE4E5B9) + rep).T
+        return out
 
 
 def repeats_for(recall: float, similarity: float, length: int, trials: int = 400, vocabulary: int = 500) -> int:
@@ -174,8 +179,7 @@ class Index:
         return (mixed(codes) & np.uint64(PAIR_SLOTS - 1)).astype(np.int64)
 
     def symbols(self, words: list[str]) -> np.ndarray:
-        get = self.vocabulary.get
-        return np.fromiter((get(w, UNKNOWN) for w in words), np.int64, len(words))
+        return np.fromiter(map(self.vocabulary.get, words, repeat(UNKNOWN)), np.int64, len(words))
 
     def candidates(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(start, item) pairs whose keys meet; ``x`` holds documents with padding between them."""
