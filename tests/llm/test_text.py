@@ -175,6 +175,29 @@ def test_recall_at_the_largest_distance(spark, shortest, longest):
     assert got <= want and len(got) >= decontaminate.RECALL * len(want)
 
 
+@pytest.mark.parametrize("n", [25, 60, 61, 200, 300, 700])
+def test_recall_of_edits_in_one_place(spark, n):
+    """Items whose head, middle or tail is replaced or dropped, as far as the distance allows."""
+    rng = random.Random(n)
+    words = [f"w{i}" for i in range(900)]
+    k, rows, items = decontaminate.allowed(n), [], []
+    for i in range(72):
+        x = [rng.choice(words) for _ in range(n)]
+        at = {0: 0, 1: (n - k) // 2, 2: n - k}[i % 3]
+        # Replaced by words of other items, dropped, or replaced by words of no item.
+        new = ([rng.choice(words) for _ in range(k)], [], [f"new{j}" for j in range(k)])[i // 3 % 3]
+        items.append((i, " ".join(x)))
+        rows.append((i, " ".join(["before"] * 40 + x[:at] + new + x[at + k :] + ["after"] * 40)))
+    docs, benchmark = spark.createDataFrame(rows, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.find_leaks(docs, benchmark).collect()}
+    assert got <= {(i, i) for i, _ in items} and len(got) >= decontaminate.RECALL * len(items)
+
+
+def test_recall_that_is_out_of_reach():
+    with pytest.raises(ValueError):
+        decontaminate.repeats_for(0.95, 0.3, 60)
+
+
 def auc(pairs):
     pairs = sorted(pairs)
     n1 = sum(y for _, y in pairs)

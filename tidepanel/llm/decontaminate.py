@@ -5,10 +5,14 @@ longer one: step j writes the current word and moves on if a random bit of
 (j, word) is set. Sequences at a small edit distance walk alike for most steps,
 so edit distance becomes Hamming distance, and sampled steps serve as LSH keys.
 Keys are taken from windows of the items' sizes (items are grouped into sizes
-that differ by a tenth) at each start that the bound below allows. Repetitions
-are added until pairs of the longest item's size at the largest allowed
-distance, drawn at random, meet with the target recall and a margin. Each document and item that meet are verified by the
-exact edit distance between the item and the best matching part of the text.
+that differ by a tenth) at each start that the bound below allows. Items of more
+than ``SEGMENT_WORDS`` words are cut into segments of equal length, each with keys
+of its own: of m segments at least one has at most an m-th of the allowed edits,
+wherever in the item they lie. Repetitions are added until pairs at the largest
+allowed distance meet with the target recall and a margin, with the edits spread
+at random and with all of them in one place; if they never do, it is an error.
+Each document and item that meet are verified by the exact edit distance between
+the item and the best matching part of the text.
 
 Bound. A part within k edits of an item of n words shares at least n - 1 - 2k
 word pairs with it. Starts whose surroundings hold fewer pairs known from any
@@ -49,10 +53,9 @@ BLOCK_WORDS = 200_000
 CLASSES, STEPS = 1024, 2048
 PAIR_SLOTS = 1 << 22
 SAMPLED = 3
-MAX_REPEATS = 48
-# Of longer windows the steps of the first words are sampled: the further a walk goes, the more edits it has to get over.
-SAMPLED_WORDS = 60
-SIMULATED_WORDS = 200
+MAX_REPEATS = 64
+# Longer items are cut: the further a walk goes, the more edits it has to get over.
+SEGMENT_WORDS = 60
 # Words that are embedded at once; bounds the memory of a task.
 CHUNK_WORDS = 500_000
 STARTS_AT_ONCE = 8_000
@@ -78,6 +81,12 @@ def sizes(lengths: list[int]) -> list[int]:
     return out
 
 
+def segments(n: int) -> list[tuple[int, int]]:
+    """(offset, length) of the segments of an item of ``n`` words; fewer words than there are segments stay over at its end."""
+    m = max(1, -(-n // SEGMENT_WORDS))
+    return [(j * (n // m), n // m) for j in range(m)]
+
+
 class Walk:
     """The random bits of the CGK walk and the sampled steps, for each repetition."""
 
@@ -92,7 +101,7 @@ class Walk:
 
     def keys(self, x: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
         """A key for each start and repetition; ``x`` must be padded by ``size`` at its end."""
-        reach = 2 * min(size, SAMPLED_WORDS)
+        reach = 2 * size
         # Twice the size: a walk of two steps a word reaches the window's end on average.
         wanted = np.minimum((self.sampled * reach).astype(np.int64), reach - 1)
         # A row for each repetition, the longest walks first: those that are done fall off at the end.
@@ -115,35 +124,60 @@ class Walk:
         return out
 
 
-def repeats_for(recall: float, similarity: float, length: int, trials: int = 400, vocabulary: int = 500) -> int:
-    """Repetitions after which random pairs at the largest allowed distance meet with the given recall.
+PLACES = ("spread", "head", "middle", "tail")
 
-    The share that met must exceed it by two standard errors, as it is an estimate.
-    """
-    rng = np.random.default_rng(11)
-    walk = Walk(length + length // 2, MAX_REPEATS)
-    left, right = [], []
-    for _ in range(trials):
-        a = rng.integers(2, vocabulary, length)
-        b = list(a)
-        for _ in range(allowed(length, similarity)):
+
+def edited(rng: np.random.Generator, a: np.ndarray, edits: int, place: str, vocabulary: int) -> list[int]:
+    """``a`` after so many edits: of random kinds at random places, or one passage replaced, dropped or grown."""
+    b, word = a.tolist(), lambda: int(rng.integers(2, vocabulary))
+    if place == "spread":
+        for _ in range(edits):
             kind, p = rng.integers(3), int(rng.integers(len(b)))
             if kind == 0:
-                b[p] = int(rng.integers(2, vocabulary))
+                b[p] = word()
             elif kind == 1:
-                b.insert(p, int(rng.integers(2, vocabulary)))
+                b.insert(p, word())
             elif len(b) > 1:
                 del b[p]
-        left += [*a, *[PAD] * length]
-        right += [*[UNKNOWN] * 3, *b, *[PAD] * (2 * length - 3 - len(b))]
-    begins = np.arange(trials) * 2 * length
-    # A few starts around the true one are embedded as well, as they are in documents.
-    ka = walk.keys(np.array(left), begins, length)[:, None, :]
-    kb = walk.keys(np.array(right), (begins[:, None] + np.arange(7)).reshape(-1), length).reshape(trials, 7, -1)
-    met = (ka == kb).any(axis=1)
-    found = np.logical_or.accumulate(met, axis=1).mean(axis=0)
-    enough = np.flatnonzero(found >= recall + 2 * (recall * (1 - recall) / trials) ** 0.5)
-    return int(enough[0]) + 1 if len(enough) else MAX_REPEATS
+        return b
+    kind, at = rng.integers(3), {"head": 0, "middle": (len(b) - edits) // 2, "tail": len(b) - edits}[place]
+    b[at : at + edits * (kind < 2)] = [word() for _ in range(edits * (kind != 1))]
+    return b
+
+
+def repeats_for(recall: float, similarity: float, length: int, trials: int = 400, vocabulary: int = 500) -> int:
+    """Repetitions after which random pairs at the largest allowed distance meet with the given recall.
+
+    The share that met must exceed it by two standard errors, as it is an estimate; it must for edits in each of ``PLACES``.
+    """
+    rng = np.random.default_rng(11)
+    walk = Walk(length, MAX_REPEATS)
+    edits, most = allowed(length, similarity), 0
+    # Enough trials that a share beyond the margin exists.
+    trials = max(trials, int(20 / (1 - recall)))
+    before, width = edits, 4 * length
+    # The starts around the true one are embedded as well, as they are in documents.
+    near = np.arange(2 * edits + 1)
+    for place in PLACES:
+        met = []
+        for at in range(0, trials, 100):
+            left, right = [], []
+            for _ in range(min(100, trials - at)):
+                a = rng.integers(2, vocabulary, length)
+                b = edited(rng, a, edits, place, vocabulary)
+                left += [*a, *[PAD] * length]
+                right += [*[UNKNOWN] * before, *b, *[PAD] * (width - before - len(b))]
+            n = len(left) // (2 * length)
+            ka = walk.keys(np.array(left), np.arange(n) * 2 * length, length)[:, None, :]
+            begins = (np.arange(n)[:, None] * width + near).reshape(-1)
+            kb = walk.keys(np.array(right), begins, length).reshape(n, len(near), -1)
+            met.append((ka == kb).any(axis=1))
+        found = np.logical_or.accumulate(np.concatenate(met), axis=1).mean(axis=0)
+        enough = np.flatnonzero(found >= recall + 2 * (recall * (1 - recall) / trials) ** 0.5)
+        if not len(enough):
+            raise ValueError(f"{MAX_REPEATS} repetitions find {found[-1]:.3f} of pairs of {length} words, less than a recall of {recall} and its margin")
+        most = max(most, int(enough[0]) + 1)
+    return most
 
 
 class Index:
@@ -154,24 +188,30 @@ class Index:
         self.vocabulary = {w: k for k, w in enumerate(sorted({w for _, ws in items for w in ws}), 2)}
         self.items = [np.array([self.vocabulary[w] for w in ws], np.int64) for _, ws in items]
         self.similarity = similarity
-        self.sizes = sizes([len(x) for x in self.items])
+        # (item, offset, length, edits that one of its item's segments has at most)
+        cut = [
+            (i, offset, length, allowed(len(x), similarity) // len(parts))
+            for i, x in enumerate(self.items) for parts in [segments(len(x))] for offset, length in parts
+        ]
+        self.item_of, self.offset_of = np.array([c[0] for c in cut]), np.array([c[1] for c in cut])
+        self.sizes = sizes([c[2] for c in cut])
         self.scale = len(self.vocabulary) + 2
         # A table of hashes instead of the pairs: what hits it by chance is embedded for nothing, but nothing is missed.
         self.pairs = np.zeros(PAIR_SLOTS, bool)
         for x in self.items:
             self.pairs[self.slots(x)] = True
-        self.walk = Walk(max(map(len, self.items)), repeats)
+        self.walk = Walk(max(c[2] for c in cut), repeats)
         self.keys, self.owners, self.least, self.reach = {}, {}, {}, {}
         for k, size in enumerate(self.sizes):
             above = self.sizes[k + 1] if k + 1 < len(self.sizes) else 1 << 30
-            own = [i for i, x in enumerate(self.items) if size <= len(x) < above]
-            keys = np.concatenate([self.walk.keys(np.concatenate((self.items[i], np.full(size, PAD))), np.array([0]), size)[0] for i in own])
+            own = [c for c, (_, _, length, _) in enumerate(cut) if size <= length < above]
+            x = np.concatenate([y for c in own for y in (self.items[cut[c][0]][cut[c][1] : cut[c][1] + size], np.full(size, PAD))])
+            keys = self.walk.keys(x, np.arange(len(own)) * 2 * size, size).reshape(-1)
             owners = np.repeat(own, repeats)
             order = np.argsort(keys, kind="stable")
             self.keys[size], self.owners[size] = keys[order], owners[order]
-            lengths = [len(self.items[i]) for i in own]
-            self.least[size] = max(1, min(n - 1 - 2 * allowed(n, similarity) for n in lengths))
-            self.reach[size] = max(n + allowed(n, similarity) for n in lengths)
+            self.least[size] = max(1, min(cut[c][2] - 1 - 2 * cut[c][3] for c in own))
+            self.reach[size] = max(cut[c][2] + cut[c][3] for c in own)
         self.masks: dict[int, dict[int, int]] = {}
 
     def slots(self, x: np.ndarray) -> np.ndarray:
@@ -182,12 +222,13 @@ class Index:
         return np.fromiter(map(self.vocabulary.get, words, repeat(UNKNOWN)), np.int64, len(words))
 
     def candidates(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(start, item) pairs whose keys meet; ``x`` holds documents with padding between them."""
+        """(start, segment) pairs whose keys meet; ``x`` holds documents with padding between them."""
         known = np.concatenate(([0], np.cumsum(self.pairs[self.slots(x)])))
         begins, found = [], []
         for size in self.sizes:
             far = np.minimum(np.arange(len(x)) + self.reach[size] - 1, len(known) - 1)
-            starts = np.flatnonzero((x > PAD) & (known[far] - known[np.minimum(np.arange(len(x)), len(known) - 1)] >= self.least[size]))
+            # A match may begin with words that no item has.
+            starts = np.flatnonzero((x != PAD) & (known[far] - known[np.minimum(np.arange(len(x)), len(known) - 1)] >= self.least[size]))
             for at in range(0, len(starts), STARTS_AT_ONCE):
                 part = starts[at : at + STARTS_AT_ONCE]
                 keys = self.walk.keys(x, part, size)
@@ -200,8 +241,8 @@ class Index:
                 found.append(self.owners[size][slots])
         if not begins:
             return np.empty(0, np.int64), np.empty(0, np.int64)
-        both = np.unique(np.concatenate(begins) * len(self.items) + np.concatenate(found))
-        return both // len(self.items), both % len(self.items)
+        both = np.unique(np.concatenate(begins) * len(self.item_of) + np.concatenate(found))
+        return both // len(self.item_of), both % len(self.item_of)
 
     def mask(self, item: int) -> dict[int, int]:
         """Where each word of the item stands, as bits; made when an item is first verified."""
@@ -244,17 +285,20 @@ def _searched(index: Index):
         pad = np.full(gap, PAD, np.int64)
         x = np.concatenate([y for p in parts for y in (p, pad)])
         offsets = np.cumsum([0, *(len(p) + gap for p in parts)])
-        start, item = index.candidates(x)
+        start, segment = index.candidates(x)
         doc = np.searchsorted(offsets, start, "right") - 1
+        # Where the whole item begins if the segment's start is right and nothing before it was added or dropped.
+        start, item = start - index.offset_of[segment], index.item_of[segment]
         best: dict[tuple[int, int], tuple[int, int]] = {}
         covered: dict[tuple[int, int], int] = {}
         for s, i, d in sorted(zip(start.tolist(), item.tolist(), doc.tolist(), strict=True), key=lambda c: (c[2], c[1], c[0])):
             k = allowed(len(index.items[i]), index.similarity)
             n, low, high = len(index.items[i]), int(offsets[d]), int(offsets[d + 1]) - gap
+            # A match begins within 2 k of s (k for the edits before the segment, k for the key's start) and has up to n + k words.
             # Stretches that were searched for the item already are not searched again.
-            if s + n <= covered.get((d, i), -1) or best.get((d, i), (k + 1,))[0] == 0:
+            if min(high, s + n + 3 * k) <= covered.get((d, i), -1) or best.get((d, i), (k + 1,))[0] == 0:
                 continue
-            a, b = max(low, s - k), min(high, s + 2 * n + 2 * k)
+            a, b = max(low, s - 2 * k), min(high, s + 2 * n + 3 * k)
             covered[d, i] = b
             distance, end = index.distance(i, x[a:b].tolist())
             if distance <= k and (distance, a + end - low) < best.get((d, i), (k + 1, 0)):
@@ -307,9 +351,9 @@ def find_leaks(
     texts = narrowed(docs, id_col, text_col)
     out = spark.createDataFrame([], "doc_id bigint, item_id bigint, distance bigint, similarity double, end_word bigint")
     for block in blocks(benchmark, item_col, item_text_col):
-        # Longer items need more repetitions, up to a length well above that of the sampled steps.
-        longest = min(max(len(w) for _, w in block), SIMULATED_WORDS)
-        index = Index(block, similarity, repeats_for(recall, similarity, longest))
+        lengths = sorted({segments(len(w))[0][1] for _, w in block})
+        # The shortest, the middle and the longest: spread edits are hardest in long windows, passages in shorter ones.
+        index = Index(block, similarity, max(repeats_for(recall, similarity, n) for n in {lengths[0], lengths[len(lengths) // 2], lengths[-1]}))
         found = texts.mapInArrow(_searched(index), "doc_id bigint, item bigint, distance bigint, end_word bigint")
         names = spark.createDataFrame([(k, i, len(w)) for k, (i, w) in enumerate(block)], "k bigint, item_id bigint, n int")
         # At most BLOCK_WORDS / MIN_WORDS rows.
