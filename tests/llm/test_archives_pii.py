@@ -160,6 +160,34 @@ def test_formats_and_links(spark):
     assert pii.pseudonymised(df.filter("false"), "k").count() == 0
 
 
+def test_planted_numbers(spark):
+    """Cards beside other numbers and telephone numbers in their usual forms; what is expected does not come from the patterns."""
+    card, other = "4111111111111111", "5500000000000004"
+    new = {c: plain_digits(c[:-1], "k", "card") for c in (card, other)}
+    new = {c: n + str((10 - luhn(n + "0")) % 10) for c, n in new.items()}
+    cases = []
+    for before, after in [
+        ("card ", " 123"), ("", " 12/27"), ("pay 5 ", ""), ("42 ", ""), ("12 34 56 ", " 7"), ("no ", " 12a"), ("on 2024-13-45 ", " 300.1.1.1"), ("", " 1 2 3 4 5 6 7 8 9"),
+    ]:
+        for c in (card, other):
+            for form in (c, " ".join(re.findall("....", c)), "-".join(re.findall("....", c))):
+                cases.append((before + form + after, before + refill(form, new[c]) + after))
+    cases.append((f"{card} {other}", f"{new[card]} {new[other]}"))
+    cases.append((f"{card} 10.0.0.255 x", None))
+    number = plain_digits("2025550143", "k", "phone")
+    for form in ("+1 202 555 0143", "+1-202-555-0143", "+12025550143", "001 202 555 0143", "+1 (202) 555-0143", "+49 20 2555 0143", "+44.20.2555.0143"):
+        head = re.sub(r"\D", "", form)[:-10]
+        cases.append((f"call {form}, now", f"call {refill(form, head + number)}, now"))
+    for form in ("(202) 555-0143", "(202)555-0143", "202-555-0143", "202.555.0143", "202 555 0143"):
+        cases.append((f"call {form}.", f"call {refill(form, number)}."))
+    for same in ("a +5 and 12-34-56", "no 4111111111111112 2", "1 2 3", "99" + card, "12 345 6789"):
+        cases.append((same, same))
+    rows = spark.createDataFrame([(i, a) for i, (a, _) in enumerate(cases)], "doc_id bigint, text string")
+    got = [r["text"] for r in pii.pseudonymised(rows, "k").orderBy("doc_id").collect()]
+    for (old, want), out in zip(cases, got, strict=True):
+        assert out == want if want is not None else card not in out and "10.0.0.255" not in out, (old, out)
+
+
 def test_permutations(spark):
     n = 10_000
     moved = spark.range(n).select(pii.permuted_digits(F.lpad(F.col("id").cast("string"), 4, "0"), "k", "t").alias("p"))

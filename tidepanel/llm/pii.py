@@ -5,7 +5,8 @@ value range, so the result has the same format, is valid again, and equal values
 get equal pseudonyms in every document while different values stay different:
 
 * card numbers (13 to 19 digits that pass the Luhn check): all digits but the last, which is the check digit of the result
-* telephone numbers with country code and area code in brackets: the ten digits after the country code
+* telephone numbers with a country code (+ or 00), in any grouping, or of ten digits with an area code in brackets or
+  three groups: the last ten digits, so that the forms of one number stay linked
 * IPv4 addresses with octets up to 255: all 32 bits
 * dates (year-month-day, day.month.year or day/month/year, 1700 to 2099): the days of these 400 years
 
@@ -15,6 +16,12 @@ characters) their length; what goes is replaced by a keyed hash.
 A round adds a keyed SHA-256 of one half to the other, modulo that half's range;
 ranges need not be equal, and no range has to be walked in cycles.
 
+A run of digit groups, each a space or hyphen from the next, may hold a card number
+beside other numbers. Any of its sequences of whole groups can be one: those of a
+usual form (a single group, 4-4-4-4, 4-4-4-4-3, 4-6-5, 4-6-4) come first, then the
+longer, then the earlier; those that overlap with one taken are not. Digits inside
+a longer undivided group are not a card number.
+
 Defined results
 * A null text is empty. Numbers that fail their check, and all other text, stay as they are.
 * Rows that repeat an id are rewritten row by row. An empty table gives an empty result.
@@ -30,6 +37,9 @@ from pyspark.sql import functions as F
 
 ROUNDS = 8
 
+# What may follow a group of a run of digits, and dates and addresses, which are no part of one.
+_WHOLE = r"(?![\p{L}\p{N}]|\.\d)"
+_OTHER = r"(?!\d{4}-\d{2}-\d{2}(?![\p{L}\p{N}/-])|\d{2}[./]\d{2}[./]\d{4})"
 # The patterns of the kinds, in the order in which they are tried.
 PATTERNS = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)*\.\p{L}{2,}",
@@ -37,7 +47,9 @@ PATTERNS = {
     "phone": r"(?<![\p{L}\p{N}])\+\d{1,3} ?\(\d{3}\) ?\d{3}[ -]?\d{4}(?!\d)",
     "date": r"(?<![\p{L}\p{N}./-])(?:\d{4}-\d{2}-\d{2}|\d{2}\.\d{2}\.\d{4}|\d{2}/\d{2}/\d{4})(?![\p{L}\p{N}/-])",
     "ip": r"(?<![\p{L}\p{N}.])\d{1,3}(?:\.\d{1,3}){3}(?![\p{L}\p{N}]|\.\d)",
-    "card": r"(?<![\p{L}\p{N}.])\d(?:[ -]?\d){12,18}(?![\p{L}\p{N}])",
+    "tel": r"(?<![\p{L}\p{N}+])(?:\+|(?<![.-])00)(?=(?:[ .()/-]{0,2}\d){8,15}(?![ -]?\d))\d{1,4}(?:[ .()/-]{0,2}\d)++(?![\p{L}\p{N}])"
+    r"|(?<![\p{L}\p{N}.+-])(?:1[ .-])?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?![\p{L}\p{N}]|[ .-]\d)",
+    "card": rf"(?<![\p{{L}}\p{{N}}.])(?=\d(?:[ -]?\d){{12}})\d++{_WHOLE}(?:[ -]{_OTHER}\d++{_WHOLE})*+",
 }
 _ANY = "|".join(PATTERNS.values())
 _FIRST_DAY, _DAYS = "1700-01-01", (189, 773)  # 400 Gregorian years are 146,097 = 189 * 773 days
@@ -99,8 +111,49 @@ def permuted_digits(digits: Column, key: str, kind: str) -> Column:
 def new_card(match: Column, key: str) -> Column:
     def renewed(digits: Column) -> Column:
         body = permuted_digits(F.substring(digits, F.lit(1), F.length(digits) - 1), key, "card")
-        checked = let(body, lambda b: F.concat(b, ((10 - luhn_sum(F.concat(b, F.lit("0"))) % 10) % 10).cast("string")))
-        return F.when(luhn_sum(digits) % 10 == 0, refilled(match, checked)).otherwise(match)
+        return let(body, lambda b: F.concat(b, ((10 - luhn_sum(F.concat(b, F.lit("0"))) % 10) % 10).cast("string")))
+
+    def taken(groups: Column) -> Column:
+        """The sequences of groups ``a`` to ``b`` (from 0) that are card numbers, with their digits."""
+
+        def numbers(i: Column) -> Column:
+            def number(j: Column) -> Column:
+                parts = F.slice(groups, i + 1, j - i + 1)
+                form = F.array_join(F.transform(parts, lambda g: F.length(g).cast("string")), "-")
+                usual = (i == j) | form.isin("4-4-4-4", "4-4-4-4-3", "4-6-5", "4-6-4")
+                digits = F.array_join(parts, "")
+                return F.struct(F.when(usual, 0).otherwise(1).alias("rank"), (-F.length(digits)).alias("less"), i.alias("a"), j.alias("b"), digits.alias("digits"))
+
+            valid = lambda c: c["less"].between(-19, -13) & (luhn_sum(c["digits"]) % 10 == 0)
+            # A sequence of more than 19 groups has too many digits.
+            return F.filter(F.transform(F.sequence(i, F.least(i + 18, F.size(groups) - 1)), number), valid)
+
+        best = F.array_sort(F.flatten(F.transform(F.sequence(F.lit(0), F.size(groups) - 1), numbers)))
+        none = F.filter(best, lambda c: F.lit(False))
+        apart = lambda c, others: ~F.exists(others, lambda o: (o["a"] <= c["b"]) & (c["a"] <= o["b"]))
+        return F.aggregate(best, none, lambda s, c: F.when(apart(c, s), F.concat(s, F.array(c))).otherwise(s))
+
+    def put(groups: Column, cards: Column) -> Column:
+        def group(g: Column, i: Column) -> Column:
+            card = F.get(F.filter(cards, lambda c: (c["a"] <= i) & (i <= c["b"])), F.lit(0))
+            before = lambda c: F.length(F.array_join(F.slice(groups, c["a"] + 1, i - c["a"]), ""))
+            return let(card, lambda c: F.when(c.isNull(), g).otherwise(F.substring(c["new"], before(c) + 1, F.length(g))))
+
+        return F.array_join(F.zip_with(F.transform(groups, group), F.regexp_extract_all(match, F.lit("[ -]"), F.lit(0)), lambda g, s: F.concat(g, F.coalesce(s, F.lit("")))), "")
+
+    def whole(groups: Column) -> Column:
+        new = lambda c: F.struct(c["a"].alias("a"), c["b"].alias("b"), renewed(c["digits"]).alias("new"))
+        return let(F.transform(taken(groups), new), lambda cards: F.when(F.size(cards) > 0, put(groups, cards)).otherwise(match))
+
+    return let(F.regexp_extract_all(match, F.lit(r"\d+"), F.lit(0)), whole)
+
+
+def new_tel(match: Column, key: str) -> Column:
+    """The last ten digits are permuted (all after the sign, if there are fewer)."""
+
+    def renewed(digits: Column) -> Column:
+        kept = F.greatest(F.length(digits) - 10, F.lit(0))
+        return refilled(match, F.concat(F.substring(digits, F.lit(1), kept), permuted_digits(F.substring(digits, kept + 1, F.length(digits)), key, "phone")))
 
     return let(digits_of(match), renewed)
 
@@ -156,7 +209,7 @@ def new_secret(match: Column, key: str) -> Column:
     return F.concat(F.substring(match, F.lit(1), F.length(match) - F.length(value)), grown)
 
 
-_NEW = {"email": new_email, "secret": new_secret, "phone": new_phone, "date": new_date, "ip": new_ip, "card": new_card}
+_NEW = {"email": new_email, "secret": new_secret, "phone": new_phone, "date": new_date, "ip": new_ip, "tel": new_tel, "card": new_card}
 
 
 def renewed(match: Column, key: str) -> Column:
