@@ -193,6 +193,27 @@ def test_recall_of_edits_in_one_place(spark, n):
     assert got <= {(i, i) for i, _ in items} and len(got) >= decontaminate.RECALL * len(items)
 
 
+def test_short_items_are_searched_exactly(spark):
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(12)]
+    texts = [[rng.choice(words) for _ in range(rng.randint(0, 40))] for _ in range(150)]
+    items = [[rng.choice(words) for _ in range(n)] for n in range(2, 8) for _ in range(20)] + [["w3"], ["alone"]]
+    docs = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(texts)], "doc_id bigint, text string")
+    benchmark = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id bigint, text string")
+    got = {(r["doc_id"], r["item_id"]): r["distance"] for r in decontaminate.find_leaks(docs, benchmark).collect()}
+    distances = {(d, i): plain_distance(x, t) for d, t in enumerate(texts) for i, x in enumerate(items)}
+    assert got == {key: e for key, e in distances.items() if e <= decontaminate.allowed(len(items[key[1]]))} and 1 in got.values()
+
+
+def test_items_without_spaces(spark):
+    item = "下列哪一种元素在常温常压下是液体，并且可以用来制作温度计，但对人体有很大的毒性"
+    near = item.replace("液体", "气体")
+    rows = [(1, "前面的话" + item + "后面的话"), (2, "前面的话" + near + "后面的话"), (3, "这里没有那个问题，只有别的句子，并且很长"), (4, "ที่นี่ " + item[:20])]
+    docs, benchmark = spark.createDataFrame(rows, "doc_id bigint, text string"), spark.createDataFrame([(7, item)], "item_id bigint, text string")
+    assert sorted((r["doc_id"], r["distance"]) for r in decontaminate.find_leaks(docs, benchmark).collect()) == [(1, 0), (2, 1)]
+    assert decontaminate.words_of("Ab 日本x é9") == ["ab", "日", "本", "x", "é9"]
+
+
 def test_recall_that_is_out_of_reach():
     with pytest.raises(ValueError):
         decontaminate.repeats_for(0.95, 0.3, 60)

@@ -1,6 +1,6 @@
 """Benchmark decontamination by CGK embedding, bit-sampling LSH and exact edit verification.
 
-Texts are sequences of lower-case words. The CGK walk maps a sequence to a
+Texts are sequences of lower-case words; each character of a script without spaces is a word. The CGK walk maps a sequence to a
 longer one: step j writes the current word and moves on if a random bit of
 (j, word) is set. Sequences at a small edit distance walk alike for most steps,
 so edit distance becomes Hamming distance, and sampled steps serve as LSH keys.
@@ -14,6 +14,10 @@ at random and with all of them in one place; if they never do, it is an error.
 Each document and item that meet are verified by the exact edit distance between
 the item and the best matching part of the text.
 
+Items of fewer than ``MIN_WORDS`` words may differ by one word at most. They are found
+without a miss by hashes: of the whole window, and of windows and items without one
+of their words.
+
 Bound. A part within k edits of an item of n words shares at least n - 1 - 2k
 word pairs with it. Starts whose surroundings hold fewer pairs known from any
 item cannot match and are not embedded. This loses nothing.
@@ -26,7 +30,7 @@ their keys and the verification still tell them apart.
 
 Defined results
 * A match is an edit distance of at most ``1 - similarity`` of the item's words (0.2, rounded down).
-* Null or empty texts and items match nothing; the same holds for items of fewer than ``MIN_WORDS`` words.
+* Null or empty texts and items, and those without a word, match nothing. An item of one word matches each text with that word.
 * Rows that repeat an id are searched row by row, and the best match of (doc_id, item_id) is reported once.
 * Items with equal texts are each reported. Empty tables give an empty result. Other columns are not read.
 """
@@ -59,12 +63,15 @@ SEGMENT_WORDS = 60
 # Words that are embedded at once; bounds the memory of a task.
 CHUNK_WORDS = 500_000
 STARTS_AT_ONCE = 8_000
+# Han, kana, Thai, Lao, Burmese and Khmer are written without spaces.
+_UNSPACED = r"\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3005-\u3007\u3040-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff"
 _WORD = re.compile(r"\w+")
+_WORD_OR_CHARACTER = re.compile(rf"[^\W{_UNSPACED}]+|(?=\w)[{_UNSPACED}]")
 UNKNOWN, PAD = 0, 1
 
 
 def words_of(text: str) -> list[str]:
-    return _WORD.findall(text.lower())
+    return (_WORD if text.isascii() else _WORD_OR_CHARACTER).findall(text.lower())
 
 
 def allowed(n: int, similarity: float = SIMILARITY) -> int:
@@ -180,6 +187,30 @@ def repeats_for(recall: float, similarity: float, length: int, trials: int = 400
     return most
 
 
+def window_hashes(x: np.ndarray, n: int, without: int = -1) -> np.ndarray:
+    """A hash of each window of ``n`` words, or of what is left without its word number ``without``."""
+    w = max(len(x) - n + 1, 0)
+    y, h = mixed(x.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15)), np.zeros(w, np.uint64)
+    for j in range(n):
+        if j != without:
+            h = h * np.uint64(0x165667B19E3779F9) + y[j : j + w]
+    return mixed(h)
+
+
+def is_short(n: int, similarity: float) -> bool:
+    return n < MIN_WORDS and allowed(n, similarity) <= 1
+
+
+def hits(keys: np.ndarray, owners: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row of ``wanted``, owner) for each equal key in the sorted ``keys``; a row may have several values."""
+    low = np.searchsorted(keys, wanted, "left")
+    count = np.searchsorted(keys, wanted, "right") - low
+    at = np.nonzero(count)
+    n, low = count[at], low[at]
+    slots = np.repeat(low, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    return np.repeat(at[0], n), owners[slots]
+
+
 class Index:
     """A block of benchmark items: vocabulary, known pairs, LSH keys and bit masks for verification."""
 
@@ -191,16 +222,27 @@ class Index:
         # (item, offset, length, edits that one of its item's segments has at most)
         cut = [
             (i, offset, length, allowed(len(x), similarity) // len(parts))
-            for i, x in enumerate(self.items) for parts in [segments(len(x))] for offset, length in parts
+            for i, x in enumerate(self.items) if not is_short(len(x), similarity) for parts in [segments(len(x))] for offset, length in parts
         ]
-        self.item_of, self.offset_of = np.array([c[0] for c in cut]), np.array([c[1] for c in cut])
+        short = [i for i, x in enumerate(self.items) if is_short(len(x), similarity)]
+        self.item_of, self.offset_of = np.array([c[0] for c in cut] + short), np.array([c[1] for c in cut] + [0] * len(short))
+        # The fewest words of a text that holds an item.
+        self.fewest = max(1, min(len(x) - allowed(len(x), similarity) for x in self.items))
         self.sizes = sizes([c[2] for c in cut])
         self.scale = len(self.vocabulary) + 2
         # A table of hashes instead of the pairs: what hits it by chance is embedded for nothing, but nothing is missed.
         self.pairs = np.zeros(PAIR_SLOTS, bool)
         for x in self.items:
             self.pairs[self.slots(x)] = True
-        self.walk = Walk(max(c[2] for c in cut), repeats)
+        # Of short items, for each length: sorted hashes of the whole and, if an edit is allowed, of what is left without a word.
+        self.short: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for n in sorted({len(self.items[i]) for i in short}):
+            own = [c for c, i in enumerate(short, len(cut)) if len(self.items[i]) == n]
+            left_out = [-1, *range(n)] if allowed(n, similarity) else [-1]
+            keys = np.concatenate([window_hashes(self.items[self.item_of[c]], n, p) for c in own for p in left_out])
+            order = np.argsort(keys, kind="stable")
+            self.short[n] = keys[order], np.repeat(own, len(left_out))[order]
+        self.walk = Walk(max((c[2] for c in cut), default=1), repeats)
         self.keys, self.owners, self.least, self.reach = {}, {}, {}, {}
         for k, size in enumerate(self.sizes):
             above = self.sizes[k + 1] if k + 1 < len(self.sizes) else 1 << 30
@@ -232,13 +274,20 @@ class Index:
             for at in range(0, len(starts), STARTS_AT_ONCE):
                 part = starts[at : at + STARTS_AT_ONCE]
                 keys = self.walk.keys(x, part, size)
-                low = np.searchsorted(self.keys[size], keys, "left")
-                count = np.searchsorted(self.keys[size], keys, "right") - low
-                row, rep = np.nonzero(count)
-                n, low = count[row, rep], low[row, rep]
-                slots = np.repeat(low, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                begins.append(np.repeat(part[row], n))
-                found.append(self.owners[size][slots])
+                row, owners = hits(self.keys[size], self.owners[size], keys)
+                begins.append(part[row])
+                found.append(owners)
+        for n, (keys, owners) in self.short.items():
+            k = allowed(n, self.similarity)
+            # (words of a window, the one that is left out): as the item, with a word replaced, dropped or added.
+            probes = [(n, -1), *([(n, p) for p in range(n)] + [(n - 1, -1)] + [(n + 1, p) for p in range(1, n)] if k else [])]
+            far = np.minimum(np.arange(len(x)) + n + k - 1, len(known) - 1)
+            starts = np.flatnonzero((x != PAD) & (known[far] - known[np.minimum(np.arange(len(x)), len(known) - 1)] >= n - 1 - 2 * k))
+            for length, p in probes:
+                part = starts[starts <= len(x) - length]
+                row, own = hits(keys, owners, window_hashes(x, length, p)[part])
+                begins.append(part[row])
+                found.append(own)
         if not begins:
             return np.empty(0, np.int64), np.empty(0, np.int64)
         both = np.unique(np.concatenate(begins) * len(self.item_of) + np.concatenate(found))
@@ -276,7 +325,7 @@ class Index:
 
 
 def _searched(index: Index):
-    gap = max(index.reach.values()) + 1
+    gap = max(MIN_WORDS, *index.reach.values()) + 1 if index.reach else MIN_WORDS + 1
     schema = pa.schema([("doc_id", pa.int64()), ("item", pa.int64()), ("distance", pa.int64()), ("end_word", pa.int64())])
 
     def matches(ids: list, parts: list[np.ndarray]) -> Iterator[tuple]:
@@ -311,7 +360,7 @@ def _searched(index: Index):
             ids, parts, size, rows = [], [], 0, []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 words = words_of(text.as_py())
-                if len(words) < MIN_WORDS // 2:
+                if len(words) < index.fewest:
                     continue
                 ids.append(doc_id)
                 parts.append(index.symbols(words))
@@ -331,7 +380,7 @@ def blocks(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[list[
     block, size = [], 0
     for item_id, text in rows:
         words = words_of(text or "")
-        if len(words) < MIN_WORDS:
+        if not words:
             continue
         if block and size + len(words) > BLOCK_WORDS:
             yield block
@@ -351,12 +400,13 @@ def find_leaks(
     texts = narrowed(docs, id_col, text_col)
     out = spark.createDataFrame([], "doc_id bigint, item_id bigint, distance bigint, similarity double, end_word bigint")
     for block in blocks(benchmark, item_col, item_text_col):
-        lengths = sorted({segments(len(w))[0][1] for _, w in block})
+        lengths = sorted({segments(len(w))[0][1] for _, w in block if not is_short(len(w), similarity)})
+        tried = {lengths[0], lengths[len(lengths) // 2], lengths[-1]} if lengths else set()
         # The shortest, the middle and the longest: spread edits are hardest in long windows, passages in shorter ones.
-        index = Index(block, similarity, max(repeats_for(recall, similarity, n) for n in {lengths[0], lengths[len(lengths) // 2], lengths[-1]}))
+        index = Index(block, similarity, max((repeats_for(recall, similarity, n) for n in tried), default=1))
         found = texts.mapInArrow(_searched(index), "doc_id bigint, item bigint, distance bigint, end_word bigint")
         names = spark.createDataFrame([(k, i, len(w)) for k, (i, w) in enumerate(block)], "k bigint, item_id bigint, n int")
-        # At most BLOCK_WORDS / MIN_WORDS rows.
+        # At most BLOCK_WORDS rows.
         named = found.join(F.broadcast(names), F.col("item") == F.col("k"))
         out = out.unionByName(named.select("doc_id", "item_id", "distance", (1 - F.col("distance") / F.col("n")).alias("similarity"), "end_word"))
     best = out.groupBy("doc_id", "item_id").agg(F.min(F.struct("distance", "end_word", "similarity")).alias("m"))
