@@ -214,6 +214,14 @@ def test_items_without_spaces(spark):
     assert decontaminate.words_of("Ab 日本x é9") == ["ab", "日", "本", "x", "é9"]
 
 
+def test_clean_rows_of_a_leaking_id_stay(spark):
+    item = " ".join(f"w{i}" for i in range(20))
+    rows = [(None, f"é before {item} after"), (None, "a clean text without an id"), (None, None), (4, item), (4, "a clean text of the same id"), (5, None), (6, "clean")]
+    docs, benchmark = spark.createDataFrame(rows, "doc_id bigint, text string"), spark.createDataFrame([(1, item)], "item_id bigint, text string")
+    left = sorted(map(tuple, decontaminate.drop_leaks(docs, benchmark).collect()), key=str)
+    assert left == sorted((r for r in rows if item not in (r[1] or "")), key=str)
+
+
 def test_recall_that_is_out_of_reach():
     with pytest.raises(ValueError):
         decontaminate.repeats_for(0.95, 0.3, 60)

@@ -37,6 +37,7 @@ Defined results
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 from itertools import repeat
@@ -47,6 +48,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidepanel.llm.common import narrowed, without
+from tidepanel.llm.exact_dedup import content_hash
 from tidepanel.llm.substring_dedup import mixed
 
 SIMILARITY = 0.8
@@ -326,7 +328,7 @@ class Index:
 
 def _searched(index: Index):
     gap = max(MIN_WORDS, *index.reach.values()) + 1 if index.reach else MIN_WORDS + 1
-    schema = pa.schema([("doc_id", pa.int64()), ("item", pa.int64()), ("distance", pa.int64()), ("end_word", pa.int64())])
+    schema = pa.schema([("doc_id", pa.int64()), ("h", pa.binary()), ("item", pa.int64()), ("distance", pa.int64()), ("end_word", pa.int64())])
 
     def matches(ids: list, parts: list[np.ndarray]) -> Iterator[tuple]:
         if not parts:
@@ -353,7 +355,9 @@ def _searched(index: Index):
             if distance <= k and (distance, a + end - low) < best.get((d, i), (k + 1, 0)):
                 best[d, i] = (distance, a + end - low)
         for (d, i), (distance, end) in best.items():
-            yield ids[d], i, distance, end
+            doc_id, text = ids[d]
+            # What ``content_hash`` makes of the text.
+            yield doc_id, hashlib.md5(text.as_py().encode()).digest(), i, distance, end
 
     def searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -362,14 +366,14 @@ def _searched(index: Index):
                 words = words_of(text.as_py())
                 if len(words) < index.fewest:
                     continue
-                ids.append(doc_id)
+                ids.append((doc_id, text))
                 parts.append(index.symbols(words))
                 size += len(words)
                 if size >= CHUNK_WORDS:
                     rows.extend(matches(ids, parts))
                     ids, parts, size = [], [], 0
             rows.extend(matches(ids, parts))
-            yield pa.record_batch([pa.array(c, f.type) for c, f in zip(list(zip(*rows, strict=True)) or [[]] * 4, schema, strict=True)], schema=schema)
+            yield pa.record_batch([pa.array(c, f.type) for c, f in zip(list(zip(*rows, strict=True)) or [[]] * 5, schema, strict=True)], schema=schema)
 
     return searched
 
@@ -391,29 +395,39 @@ def blocks(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[list[
         yield block
 
 
-def find_leaks(
-    docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
-    similarity: float = SIMILARITY, recall: float = RECALL,
-) -> DataFrame:
-    """(doc_id, item_id, distance, similarity, end_word) for each document that holds an item, and each such item."""
+def _leaks(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, item_col: str, item_text_col: str, similarity: float, recall: float) -> DataFrame:
+    """(doc_id, h, item_id, distance, similarity, end_word) for each row of ``docs`` and item it holds; h is the text's hash."""
     spark = docs.sparkSession
     texts = narrowed(docs, id_col, text_col)
-    out = spark.createDataFrame([], "doc_id bigint, item_id bigint, distance bigint, similarity double, end_word bigint")
+    out = spark.createDataFrame([], "doc_id bigint, h binary, item_id bigint, distance bigint, similarity double, end_word bigint")
     for block in blocks(benchmark, item_col, item_text_col):
         lengths = sorted({segments(len(w))[0][1] for _, w in block if not is_short(len(w), similarity)})
         tried = {lengths[0], lengths[len(lengths) // 2], lengths[-1]} if lengths else set()
         # The shortest, the middle and the longest: spread edits are hardest in long windows, passages in shorter ones.
         index = Index(block, similarity, max((repeats_for(recall, similarity, n) for n in tried), default=1))
-        found = texts.mapInArrow(_searched(index), "doc_id bigint, item bigint, distance bigint, end_word bigint")
+        found = texts.mapInArrow(_searched(index), "doc_id bigint, h binary, item bigint, distance bigint, end_word bigint")
         names = spark.createDataFrame([(k, i, len(w)) for k, (i, w) in enumerate(block)], "k bigint, item_id bigint, n int")
         # At most BLOCK_WORDS rows.
         named = found.join(F.broadcast(names), F.col("item") == F.col("k"))
-        out = out.unionByName(named.select("doc_id", "item_id", "distance", (1 - F.col("distance") / F.col("n")).alias("similarity"), "end_word"))
+        out = out.unionByName(named.select("doc_id", "h", "item_id", "distance", (1 - F.col("distance") / F.col("n")).alias("similarity"), "end_word"))
+    return out
+
+
+def find_leaks(
+    docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
+    similarity: float = SIMILARITY, recall: float = RECALL,
+) -> DataFrame:
+    """(doc_id, item_id, distance, similarity, end_word) for each document that holds an item, and each such item."""
+    out = _leaks(docs, benchmark, id_col, text_col, item_col, item_text_col, similarity, recall)
     best = out.groupBy("doc_id", "item_id").agg(F.min(F.struct("distance", "end_word", "similarity")).alias("m"))
     return best.select("doc_id", "item_id", "m.distance", "m.similarity", "m.end_word")
 
 
-def drop_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """``docs`` without the documents that hold a benchmark item. Rows that share an id go together."""
-    leaks = find_leaks(docs, benchmark, id_col, text_col, **how)
-    return without(docs, [F.col(id_col).cast("bigint")], leaks.select("doc_id").distinct())
+def drop_leaks(
+    docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
+    similarity: float = SIMILARITY, recall: float = RECALL,
+) -> DataFrame:
+    """``docs`` without the rows that hold a benchmark item. Other rows of the same id, or without one, stay."""
+    leaks = _leaks(docs, benchmark, id_col, text_col, item_col, item_text_col, similarity, recall).select("doc_id", "h").distinct()
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    return without(docs, [F.col(id_col).cast("bigint"), content_hash(text)], leaks)
