@@ -204,3 +204,28 @@ def test_remove_repeats(spark, docs, odd, empty, block, monkeypatch):
         for r in rows:
             assert sum(s["end"] - s["start"] for s in r["spans"]) == r["n_removed"]
             assert hashlib.sha256(r["kept_text"].encode()).hexdigest() == r["kept_sha256"]
+
+
+def test_lists_stay_within_a_text(spark, monkeypatch):
+    """What is gathered for a row doesn't grow with the rows that share its id."""
+    real = substring_dedup._windows
+
+    def bounded(threshold, anchor):
+        made = real(threshold, anchor)
+
+        def checked(batches):
+            def seen():
+                for batch in batches:
+                    assert all(len(s) <= 60 for s in batch.column(4))
+                    yield batch
+
+            yield from made(seen())
+
+        return checked
+
+    monkeypatch.setattr(substring_dedup, "_windows", bounded)
+    passage = " ".join(f"p{i}" for i in range(20))
+    rows = [(1, passage), (7, passage + " and more")] + [(i, f"{passage} {k} {i} " + " ".join(f"x{k % 150}-{j}" for j in range(20))) for i in (None, 5) for k in range(300)]
+    got = substring_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    # Rows of id 5 lose the passage to id 1; rows without an id also lose the number after it and the last 20 words, which a row of id 5 has.
+    assert sorted((r["doc_id"] or 99, r["n_removed"]) for r in got) == sorted([(1, 0), (7, 20)] + [(5, 20)] * 300 + [(99, 41)] * 300)

@@ -25,6 +25,7 @@ windows 128 bits.
 
 Defined results
 * A null text has no words. A document shorter than a window keeps all its words.
+* Anchors and places are gathered by id and, where rows share an id, by a hash of the text: no list outgrows one text.
 * Rows that share an id never remove words from each other; a null id counts as larger than any other.
 * Repeats inside one document stay. An empty table gives an empty result. Other columns are not read.
 """
@@ -39,8 +40,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidepanel.llm.common import narrowed
+from tidepanel.llm.common import BROADCAST_ROWS, narrowed
 from tidepanel.llm.exact_dedup import content_hash
+from tidepanel.session import pinned
 
 THRESHOLD = 13
 ANCHOR = 6
@@ -118,24 +120,24 @@ def runs_of(*sorted_keys: np.ndarray) -> np.ndarray:
 
 
 def _seeds(threshold: int, anchor: int):
-    """(anchor, id, state): the selected anchors of each document, each once."""
-    schema = pa.schema([("anchor", pa.int64()), ("id", pa.int64()), ("state", pa.int8())])
+    """(anchor, id, mark): the selected anchors of each document, each once; a mark is 4 times the text's tag plus the state."""
+    schema = pa.schema([("anchor", pa.int64()), ("id", pa.int64()), ("mark", pa.int64())])
 
-    def settled(anchors: list[np.ndarray], ids: list[np.ndarray]) -> pa.RecordBatch:
-        a, i = np.concatenate(anchors).view(np.int64), np.concatenate(ids)
+    def settled(anchors: list[np.ndarray], ids: list[np.ndarray], tags: list[np.ndarray]) -> pa.RecordBatch:
+        a, i, tag = np.concatenate(anchors).view(np.int64), np.concatenate(ids), np.concatenate(tags)
         order = np.lexsort((i, a))
-        a, i = a[order], i[order]
+        a, i, tag = a[order], i[order], tag[order]
         begins = runs_of(a)
         lengths = np.diff(np.append(begins, len(a)))
         later = i > np.repeat(i[begins], lengths)
         state = np.where(later, LATER, np.repeat(np.where(np.logical_or.reduceat(later, begins), LEAST, ALONE), lengths))
-        return _batch(schema, a, i, state.astype(np.int8))
+        return _batch(schema, a, i, tag * 4 + state)
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHash()
-        out, ids, size = [], [], 0
+        out, ids, tags, size = [], [], [], 0
         for batch in batches:
-            for id_, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            for id_, tag, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 words = text.as_py().split()
                 if len(words) < threshold:
                     continue
@@ -143,42 +145,50 @@ def _seeds(threshold: int, anchor: int):
                 own = np.unique(runs[np.unique(at)])
                 out.append(own)
                 ids.append(np.full(len(own), id_, np.int64))
+                tags.append(np.full(len(own), tag, np.int64))
                 size += len(own)
                 if size > BLOCK_ROWS:
-                    yield settled(out, ids)
-                    out, ids, size = [], [], 0
+                    yield settled(out, ids, tags)
+                    out, ids, tags, size = [], [], [], 0
         if out:
-            yield settled(out, ids)
+            yield settled(out, ids, tags)
 
     return made
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of (anchor, id, state) sorted by anchor and id, those whose anchor has more than one id."""
-    anchor, first, told = None, None, True
+    """Of (anchor, id, mark) sorted by anchor and id, those whose anchor has more than one id.
+
+    Where rows share the smallest id, all but the first are told without waiting for a larger id: that costs a needless extension.
+    """
+
+    def told_of(i, tag, a) -> pa.RecordBatch:
+        return pa.record_batch([pa.array(c, pa.int64()) for c in (i, tag, a)], names=["id", "tag", "anchor"])
+
+    anchor, first, first_tag, told = None, None, None, True
     for batch in batches:
-        a, i, state = (batch.column(k).to_numpy() for k in range(3))
+        a, i, mark = (batch.column(k).to_numpy() for k in range(3))
+        tag, state = mark >> 2, mark & 3
         known = state == LATER
         if known.any():
-            yield pa.record_batch([pa.array(i[known]), pa.array(a[known])], names=["id", "anchor"])
-            a, i, state = a[~known], i[~known], state[~known]
+            yield told_of(i[known], tag[known], a[known])
+            a, i, tag, state = a[~known], i[~known], tag[~known], state[~known]
         if not len(a):
             continue
         begins = runs_of(a)
-        least = i[begins].copy()
+        least, least_tag = i[begins].copy(), tag[begins].copy()
         continued = anchor is not None and a[0] == anchor
         if continued:
-            least[0] = first
+            least[0], least_tag[0] = first, first_tag
         later = i > np.repeat(least, np.diff(np.append(begins, len(a))))
         more = np.logical_or.reduceat(later | (state == LEAST), begins)
         if continued and more[0] and not told:
-            yield pa.record_batch([pa.array([first], pa.int64()), pa.array([anchor], pa.int64())], names=["id", "anchor"])
-        firsts = begins[1:] if continued else begins
-        keep = later
-        keep[firsts] |= more[1:] if continued else more
-        yield pa.record_batch([pa.array(i[keep]), pa.array(a[keep])], names=["id", "anchor"])
+            yield told_of([first], [first_tag], [anchor])
+        keep = np.ones(len(a), bool)
+        keep[begins[1:] if continued else begins] = more[1:] if continued else more
+        yield told_of(i[keep], tag[keep], a[keep])
         told = bool(more[-1]) or (continued and len(begins) == 1 and told)
-        anchor, first = int(a[-1]), int(least[-1])
+        anchor, first, first_tag = int(a[-1]), int(least[-1]), int(least_tag[-1])
 
 
 def _windows(threshold: int, anchor: int):
@@ -301,26 +311,33 @@ def remove_repeats(
         F.xxhash64("text").bitwiseAND(F.lit(0x7FFFFFFF)).alias("tag"),
         F.col("text").cast("binary").alias("text"),
     )
+    # Ids of one row need no tag; where repeated ids are too many to list, all have one.
+    shared_ids = pinned(texts.groupBy(F.col("id").alias("__shared")).count().filter("count > 1").select("__shared"))
+    if shared_ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        tag = F.when(F.col("__shared").isNotNull(), F.col("tag")).otherwise(F.lit(0).cast("bigint")).alias("tag")
+        texts = texts.join(F.broadcast(shared_ids), F.col("id") == F.col("__shared"), "left").select("doc_id", "id", tag, "text")
     # Narrow rows: which (id, tag) have their text in a document of a smaller id.
     rows = texts.select("id", "tag", content_hash(F.col("text")).alias("h")).distinct()
     firsts = rows.groupBy("h").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first < last")
     copies = rows.join(firsts.select(F.col("h").alias("__h"), "first"), (F.col("h") == F.col("__h")) & (F.col("id") > F.col("first"))).select("id", "tag")
 
-    anchors = texts.select("id", "text").mapInArrow(_seeds(threshold, anchor), "anchor bigint, id bigint, state tinyint")
-    dealt = F.when(F.col("state") == LATER, F.xxhash64("anchor", "id")).otherwise(F.col("anchor"))
-    shared = anchors.repartition(dealt).sortWithinPartitions("anchor", "id").mapInArrow(_shared, "id bigint, anchor bigint")
-    known = shared.withColumn("tag", F.lit(None).cast("bigint")).unionByName(copies.withColumn("anchor", F.lit(None).cast("bigint")))
-    seeds = known.groupBy("id").agg(F.collect_list("anchor").alias("seeds"), F.collect_list("tag").alias("copies")).withColumnRenamed("id", "__id")
+    anchors = texts.select("id", "tag", "text").mapInArrow(_seeds(threshold, anchor), "anchor bigint, id bigint, mark bigint")
+    dealt = F.when(F.col("mark").bitwiseAND(3) == LATER, F.xxhash64("anchor", "id")).otherwise(F.col("anchor"))
+    shared = anchors.repartition(dealt).sortWithinPartitions("anchor", "id").mapInArrow(_shared, "id bigint, tag bigint, anchor bigint")
+    known = shared.withColumn("copy", F.lit(None).cast("bigint")).unionByName(copies.select("id", "tag", F.lit(None).cast("bigint").alias("anchor"), F.col("tag").alias("copy")))
+    # Sets: rows with one id and text tell the same.
+    seeds = known.groupBy(F.col("id").alias("__id"), F.col("tag").alias("__tag")).agg(F.collect_set("anchor").alias("seeds"), F.collect_set("copy").alias("copies"))
+    same_text = (F.col("id") == F.col("__id")) & (F.col("tag") == F.col("__tag"))
     # Both joins read the texts with the same columns, so they are shuffled once.
-    seeded = texts.join(seeds, F.col("id") == F.col("__id")).select("doc_id", "id", "tag", "text", "seeds", "copies")
+    seeded = texts.join(seeds, same_text).select("doc_id", "id", "tag", "text", "seeds", "copies")
     windows = seeded.mapInArrow(_windows(threshold, anchor), "w1 bigint, w2 bigint, id bigint, place bigint")
     dealt = F.when(F.col("place") < 0, F.xxhash64("w1", "id", "place")).otherwise(F.col("w1"))
     repeated = windows.repartition(dealt).sortWithinPartitions("w1", "w2", "id").mapInArrow(_repeated, "id bigint, place bigint")
     repeated = repeated.unionByName(copies.select("id", F.shiftleft("tag", 32).bitwiseOR(F.lit(COPY).cast("bigint")).alias("place")))
-    places = repeated.groupBy("id").agg(F.collect_list("place").alias("places")).withColumnRenamed("id", "__id")
+    places = repeated.groupBy(F.col("id").alias("__id"), F.shiftright("place", 32).alias("__tag")).agg(F.collect_set("place").alias("places"))
     ddl = "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string, spans array<struct<start:bigint,end:bigint>>"
     return (
-        texts.join(places, F.col("id") == F.col("__id"), "left")
+        texts.join(places, same_text, "left")
         .select("doc_id", "id", "tag", "text", "places")
         .mapInArrow(_cut(threshold, keep_text), ddl + ", kept_text string" * keep_text)
     )
