@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidepanel.llm import chat, decontaminate, exact_dedup, packing, pii, simhash_dedup, substring_dedup, token_counts, toxicity, warc
+from tidepanel.llm import chat, decontaminate, exact_dedup, line_rules, packing, pii, simhash_dedup, substring_dedup, token_counts, toxicity, warc
 
 KEY = "tidepanel"
 
@@ -63,11 +63,16 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_chats(turns.unionByName(probe)))
 
 
+def op11_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = line_rules.clean_lines(table(spark, sf_dir, "documents"), keep_text=False)
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_decontamination, op2_packing, op3_exact_dedup, op4_simhash_dedup, op5_warc, op6_token_counts, op7_pii, op8_toxicity,
-        op9_substring_dedup, op10_chat_format,
+        op9_substring_dedup, op10_chat_format, op11_line_rules,
     )
 }
 
@@ -121,4 +126,42 @@ SQL = {
             sum(length(e) + CASE WHEN opens THEN 9 + length(re) + 1 + 8 ELSE 7 END)::BIGINT AS formatted_chars
         FROM b GROUP BY conv_id
     """,
+    "op11_line_rules": rf"""
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        p AS (
+            SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, w[i], w[i + 1], w[i + 2]) AS times
+            FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM d WHERE len(w) >= 3)
+        ),
+        r AS (
+            SELECT doc_id, sum(least(3, coalesce(i - before, 3))) AS n_repeat_words
+            FROM (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM p WHERE times > 1) GROUP BY doc_id
+        ),
+        l AS (
+            SELECT doc_id, line, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n
+            FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\x20\x09-\x0D]')
+        ),
+        j AS (
+            SELECT doc_id, line,
+                instr('{line_rules.TERMINALS.replace("'", "''")}', right(regexp_replace(line, '[\x20\x09-\x0D]+$', ''), 1)) = 0
+                OR len(regexp_extract_all(line, '{line_rules.SYMBOLS}')) * 5 > n
+                OR len(regexp_extract_all(line, '{line_rules.SHOUTS}')) * 3 > n * 2 + 4
+                OR len(regexp_extract_all(line, '{line_rules.SEPARATORS}')) * 4 > n
+                OR (n <= {line_rules.NOTICE_WORDS} AND (regexp_matches(line, '{line_rules.NAVIGATION}') OR regexp_matches(line, '{line_rules.BOILERPLATE}'))) AS fails
+            FROM l
+        ),
+        k AS (
+            SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines,
+                coalesce(sum(length(regexp_replace(line, '[\x20\x09-\x0D]+', '', 'g'))) FILTER (WHERE fails), 0) AS lost
+            FROM j GROUP BY doc_id
+        ),
+        a AS (
+            SELECT d.doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, len(regexp_extract_all(t, '{line_rules.SYMBOLS}')) AS n_symbols,
+                coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words, coalesce(lost, 0) AS lost
+            FROM d LEFT JOIN r ON d.doc_id = r.doc_id LEFT JOIN k ON d.doc_id = k.doc_id
+        )
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+            n_words < {line_rules.MIN_WORDS} OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+            NOT (n_words < {line_rules.MIN_WORDS} OR 100 * n_repeat_words > 50 * n_words) AND lost <= {line_rules.MAX_LOST} * word_chars AS kept
+        FROM a
+    """,
 }
