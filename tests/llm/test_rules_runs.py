@@ -1,12 +1,17 @@
 """Line rules and periodic runs against plain Python."""
 
+import hashlib
+import random
 import re
+import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidepanel.llm import line_rules
+from tidepanel.llm import line_rules, queries, runs
+from tidepanel.llm.substring_dedup import WordHash
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -65,3 +70,95 @@ def test_lines_go_and_documents_that_lose_too_much(spark):
     assert rows[0]["cleaned_text"] == "\n".join([*good, ""])
     again = line_rules.clean_lines(spark.createDataFrame([(1, good[0] + "\n" + good[0] + "\nHome")], "doc_id int, text string")).first()
     assert again["cleaned_text"] == good[0] + "\n" + good[0]
+
+
+def plain_runs(words, min_length=24, min_exponent=3):
+    """All runs by comparing each word with the one a period on, for every period."""
+    n, found = len(words), []
+    codes = np.unique(words, return_inverse=True)[1] if n else None
+    for q in range(1, n // min_exponent + 1):
+        if (codes[q:] == codes[:-q]).sum() < max(min_length, min_exponent * q) - q:
+            continue
+        i = 0
+        while i + q < n:
+            if words[i] != words[i + q]:
+                i += 1
+                continue
+            j = i
+            while j + q < n and words[j] == words[j + q]:
+                j += 1
+            length = j - i + q
+            if length >= max(min_length, min_exponent * q) and not any(words[i : i + length - d] == words[i + d : i + length] for d in range(1, q)):
+                found.append((i, length, q))
+            i = j
+    return sorted(found, key=lambda r: (r[0], r[2]))
+
+
+def plain_answer(doc_id, text):
+    words = WORD.findall(text or "")
+    found = plain_runs(words)
+    best = max(found, key=lambda r: (r[1] / r[2], -r[0], -r[2]), default=None)
+    gone = {k for s, length, q in found for k in range(s + q, s + length)}
+    kept = " ".join(w for k, w in enumerate(words) if k not in gone)
+    listed = "".join(f"{s},{length},{q}\n" for s, length, q in found)
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    return (doc_id, len(found), *((*best, 1000 * best[1] // best[2]) if best else (None,) * 4), sha(listed), sha(kept))
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_runs_of_small_alphabets(seed):
+    rng, total = random.Random(seed), 0
+    for _ in range(800):
+        words, k = [], rng.randint(1, 4)
+        while len(words) < rng.randint(0, 70):
+            block = [rng.randint(1, k) for _ in range(rng.randint(1, 8))]
+            words += block * rng.choice((1, 1, 2, 3, 5, 9))
+        limits = rng.choice(((24, 3), (6, 3), (4, 2), (9, 2), (5, 3), (7, 4)))
+        want = plain_runs(words, *limits)
+        assert runs.runs_of_words([str(x).encode() for x in words], WordHash(), *limits) == want
+        if words:
+            assert runs.runs_in(words, 5, *limits) == want
+        total += len(want)
+    assert total > 500
+
+
+def test_suffix_order_and_extensions():
+    rng = random.Random(4)
+    for _ in range(200):
+        s = [rng.randint(1, 3) for _ in range(rng.randint(1, 40))]
+        order, parted = runs.leaf_tour([*s, 0], 4)
+        assert order.tolist() == sorted(range(len(s) + 1), key=lambda i: [*s, 0][i:])
+        ext = runs.Extensions(s, 4)
+        for _ in range(10):
+            i, j = rng.sample(range(len(s) + 1), 2)
+            k = 0
+            while max(i, j) + k < len(s) and s[i + k] == s[j + k]:
+                k += 1
+            assert ext(*(np.array([x]) for x in (i, j))).tolist() == [k]
+
+
+def test_collapse(spark, docs, odd, empty):
+    made = spark.createDataFrame(
+        [(30, "start " + "a b c " * 9 + "end"), (31, "x " * 23), (32, "x " * 24), (33, "x " * 30 + "y " * 40), (34, "a b a b c " * 12 + "a b z"), (None, "q " * 50)],
+        "doc_id bigint, text string",
+    )
+    for df in (docs, odd, empty, made):
+        got = runs.collapse_runs(df).drop("runs", "collapsed_text").collect()
+        assert sorted(map(tuple, got), key=str) == sorted((plain_answer(r["doc_id"], r["text"]) for r in df.collect()), key=str)
+    row = runs.collapse_runs(made.where("doc_id = 30")).first()
+    assert row["collapsed_text"] == "start a b c end" and [tuple(r) for r in row["runs"]] == [(1, 27, 3)]
+
+
+def test_periodic_runs_query(spark, docs):
+    want = []
+    for r in docs.collect():
+        words, h = WORD.findall(r["text"] or ""), zlib.crc32(str(r["doc_id"]).encode())
+        n, g = len(words), h // 10
+        text = r["text"]
+        if h % 10 == 0 and n:
+            a = g % n
+            p = 1 + (n - a) // (3 + g % 8)
+            text = " ".join(w if i < a else words[a + (i - a) % p] for i, w in enumerate(words))
+        want.append(plain_answer(r["doc_id"], text))
+    got = queries.op13_periodic_runs(spark, "/root/testdata/sf0.001").collect()
+    assert sorted(map(tuple, got)) == sorted(want) and sum(r["n_runs"] > 0 for r in got) > 10

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidepanel.llm import chat, decontaminate, exact_dedup, line_rules, packing, pii, simhash_dedup, substring_dedup, token_counts, toxicity, warc
+from tidepanel.llm import chat, decontaminate, exact_dedup, line_rules, packing, pii, runs, simhash_dedup, substring_dedup, token_counts, toxicity, warc
 
 KEY = "tidepanel"
 
@@ -68,11 +68,29 @@ def op11_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def with_repeats(docs: DataFrame) -> DataFrame:
+    """(doc_id, text) in which a tenth of the documents, chosen by the hash of their id, end in repeats of some of their words."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = docs.select("doc_id", text.alias("text"), F.when(h % 10 == 0, line_rules.words_of(text)).alias("w"), F.floor(h / 10).alias("g"))
+    n, w, g = F.size("w").cast("bigint"), F.col("w"), F.col("g")
+    rows = rows.withColumn("a", F.when(n > 0, g % n)).withColumn("p", F.lit(1) + F.floor((n - F.col("a")) / (g % 8 + 3)))
+    a, p = F.col("a").cast("int"), F.col("p").cast("int")
+    times = F.ceil((n - a) / p).cast("int")
+    tail = F.slice(F.flatten(F.array_repeat(F.slice(w, a + 1, p), times)), F.lit(1), n.cast("int") - a)
+    return rows.select("doc_id", F.when(F.col("a").isNotNull(), F.array_join(F.concat(F.slice(w, F.lit(1), a), tail), " ")).otherwise(F.col("text")).alias("text"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = runs.collapse_runs(with_repeats(table(spark, sf_dir, "documents")), keep_text=False)
+    return found.select("doc_id", "n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_decontamination, op2_packing, op3_exact_dedup, op4_simhash_dedup, op5_warc, op6_token_counts, op7_pii, op8_toxicity,
-        op9_substring_dedup, op10_chat_format, op11_line_rules,
+        op9_substring_dedup, op10_chat_format, op11_line_rules, op13_periodic_runs,
     )
 }
 
