@@ -6,7 +6,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidepanel.llm import chat, decontaminate, exact_dedup, line_rules, packing, pii, runs, simhash_dedup, substring_dedup, token_counts, toxicity, warc
+from tidepanel.llm import (
+    alignment, chat, decontaminate, exact_dedup, line_rules, packing, pii, runs, simhash_dedup,
+    substring_dedup, token_counts, toxicity, warc,
+)
 
 KEY = "tidepanel"
 
@@ -68,6 +71,11 @@ def op11_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = (public_tokenizers.path(name) for name in ("byte_bpe_50k.json", "piece_bpe_32k.model"))
+    return alignment.align_documents(table(spark, sf_dir, "documents"), a, b)[0]
+
+
 def with_repeats(docs: DataFrame) -> DataFrame:
     """(doc_id, text) in which a tenth of the documents, chosen by the hash of their id, end in repeats of some of their words."""
     h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
@@ -90,7 +98,8 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_decontamination, op2_packing, op3_exact_dedup, op4_simhash_dedup, op5_warc, op6_token_counts, op7_pii, op8_toxicity,
-        op9_substring_dedup, op10_chat_format, op11_line_rules, op13_periodic_runs,
+        op9_substring_dedup, op10_chat_format, op11_line_rules, op12_token_alignment,
+        op13_periodic_runs,
     )
 }
 
