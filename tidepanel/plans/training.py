@@ -116,7 +116,7 @@ def train_eval(pool: Pool, params: LearnerParams = LearnerParams(), cutoff: floa
     return {**evaluate_scores(pool.scores(trained), cutoff), "minutes_taken": minutes}
 
 
-def _mean_metrics(runs: Sequence[Mapping]) -> dict:
+def mean_metrics(runs: Sequence[Mapping]) -> dict:
     means = {}
     for name in runs[0]:
         known = [r[name] for r in runs if r[name] is not None]
@@ -130,7 +130,7 @@ def _mean_metrics(runs: Sequence[Mapping]) -> dict:
 def repeat_trial(pool: Pool, params: LearnerParams = LearnerParams(), repeats: int = 3, cutoff: float | None = None) -> dict:
     """Mean metrics of several trainings that differ in their seed."""
     params.seeds_matter(repeats)
-    return _mean_metrics([train_eval(pool, replace(params, seed=seed), cutoff) for seed in range(1, repeats + 1)])
+    return mean_metrics([train_eval(pool, replace(params, seed=seed), cutoff) for seed in range(1, repeats + 1)])
 
 
 def _in_parallel(spark: SparkSession, jobs: Sequence[Callable], parallelism: int) -> list:
