@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tidepanel.operators import boost, evaluate
 from tidepanel.operators.boost import BoostParams, Model
 from tidepanel.plans import boosting
-from tidepanel.plans.training import Task
+from tidepanel.plans.training import Box, Task
 
 FAST = BoostParams(iterations=4, depth=3, border_count=7, learning_rate=0.3, random_strength=0.0)
 
@@ -104,7 +104,7 @@ def test_passes_do_not_grow_with_models(spark, rows, monkeypatch):
 
     monkeypatch.setattr(type(binned), "collect", collect)
     forests = []
-    for n in (1, 30):
+    for n in (1, 12):
         counted.append(0)
         forests.append(boost.train_models(binned, binning, [Model(replace(FAST, seed=s, random_strength=1.0)) for s in range(1, n + 1)]))
     # One question for the fold sizes and one for each level of each tree.
@@ -201,3 +201,18 @@ def test_stacking_to_delivery(spark, rows):
     assert wide.count() == 500
     top = boosting.score_and_rank(forest, scores.drop("class"), models, n=20).collect()
     assert len(top) == 20 and [r["prob"] for r in top] == sorted((r["prob"] for r in top), reverse=True)
+
+
+def test_sweep_grows_all_points_at_once(task):
+    box = Box({"depth": (1, 3), "learning_rate": (0.01, 1.0), "l2_leaf_reg": (1, 10), "cutoff": (0.01, 0.1)})
+    found = boosting.param_sweep(task, box, trials=4, base=FAST)
+    assert [r["objective"] for r in found] == sorted((r["objective"] for r in found), reverse=True) and {r["trial"] for r in found} == {1, 2, 3, 4}
+    for r in found[:2]:
+        point = {k: v for k, v in r["hyperparams"].items() if k != "cutoff"}
+        alone = boosting.train_eval(task, replace(FAST, **point), cutoff=r["hyperparams"]["cutoff"])
+        assert (r["profit"], r["auc_testing"], r["logloss_testing"]) == (alone["profit"], alone["auc_testing"], alone["logloss_testing"])
+        assert r["objective"] == alone["perfect_profit_ratio"] and r["cutoff"] == pytest.approx(r["hyperparams"]["cutoff"], abs=1e-5)
+    free = boosting.param_sweep(task, Box({"depth": (1, 3)}), trials=2, base=replace(FAST, random_strength=1.0), repeats=2)
+    assert all(0 < r["objective"] <= 1 for r in free)
+    with pytest.raises(ValueError, match="border_count"):
+        boosting.param_sweep(task, Box({"border_count": (8, 64)}), trials=1)

@@ -1,8 +1,7 @@
 """Learning and model selection, on supplier months whose class comes from the months after.
 
-Single trainings use 50 rounds of depth 6; bags, stacks and rankings ten models of 10 rounds.
-The searches are cut short and say so where they are called: their full sizes are
-the defaults of the jobs.
+Single trainings use 50 rounds of depth 6. Bags, cross-validations, stacks, grids and repeats grow all
+their models together and run at the sizes their jobs have by default.
 """
 
 from __future__ import annotations
@@ -14,13 +13,11 @@ from tidepanel.functions.columns import target_test, target_train
 from tidepanel.operators import learn, panel, profile
 from tidepanel.operators.ledger import Ledger
 from tidepanel.operators.learn import LearnerParams
+from tidepanel.plans import boosting
 from tidepanel.plans import training as T
 from tidepanel.session import scratch_path
 
 FULL = LearnerParams(iterations=50, depth=6)
-# For jobs of many trainings.
-SHORT = LearnerParams(iterations=10, depth=4, border_count=64, learning_rate=0.2)
-SECOND = LearnerParams(iterations=10, depth=2, learning_rate=0.2)
 TREND = panel.PanelSpec(key="k", period="p", features=("v", "a"), growth_findiff=False, accel_findiff=False)
 FEATURES = (
     "n", "v", "m", "a", "b", "r", "v__CREC_POLI", "v__ACEL_POLI", "v__ACEL_POLI__CAT_POLI", "v__ANDREU",
@@ -91,41 +88,42 @@ def holdout_by_period_(spark, sf):
 
 def bagging_(spark, sf):
     task = _task(spark, sf)
-    return T.bagging(task.train, task.features, task.label, SHORT).score(task.test, "k", "p")
+    return boosting.bagging(task.train, task.features, task.label, task.id).score(task.test, "k", "p")
 
 
 def stratified_cv_(spark, sf):
     rows = labelled(spark, sf).withColumn("target", target_train(F.col("clase")))
-    return T.stratified_cv(rows, ["n", "v", "m", "a", "b", "r"], "target", ["k", "p"], SHORT, n_models=2)
+    return boosting.stratified_cv(rows, ["n", "v", "m", "a", "b", "r"], "target", ["k", "p"])
 
 
 def stacking_(spark, sf):
-    trained, wide = T.stacking(model_scores(spark, sf), MODELS, SECOND)
-    return trained.score(wide, "id")
+    forest, wide = boosting.stacking(model_scores(spark, sf), MODELS)
+    return forest.score(wide, "id")
 
 
 def score_and_rank_(spark, sf):
     """Learn on orders of closed status, rank the others."""
     scores, orders = model_scores(spark, sf), table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), "o_orderdate")
     dated = scores.join(orders, "id")
-    trained, _ = T.stacking(dated.where(F.col("o_orderdate") < "1999-01-01").drop("o_orderdate"), MODELS, SECOND)
-    return T.score_and_rank(trained, dated.where(F.col("o_orderdate") >= "1999-01-01").drop("o_orderdate"), MODELS)
+    forest, _ = boosting.stacking(dated.where(F.col("o_orderdate") < "1999-01-01").drop("o_orderdate"), MODELS)
+    return boosting.score_and_rank(forest, dated.where(F.col("o_orderdate") >= "1999-01-01").drop("o_orderdate"), MODELS)
 
 
 def grid_cv_(spark, sf):
     task = _task(spark, sf)
-    return T.grid_cv(task.train, task.features, task.label, params=SHORT)
+    return boosting.grid_cv(task.train, task.features, task.label, task.id)
 
 
 def param_sweep_(spark, sf):
-    box = T.Box({"depth": (2, 4), "iterations": (2, 4), "border_count": (8, 64), "learning_rate": (0.05, 0.5), "cutoff": (0.01, 0.1)})
-    found = T.param_sweep(T.load_pool(_task(spark, sf)), box, trials=3)
+    """All 200 trials, of shorter models than the job's own box asks for."""
+    box = T.Box({**boosting.CUTOFF_BOX.bounds, "depth": (1, 4), "iterations": (20, 50)})
+    found = boosting.param_sweep(_task(spark, sf), box)
     rows = [(r["trial"], r["objective"], r["profit"], r["auc_testing"], r["cutoff"]) for r in found]
     return spark.createDataFrame(rows, "trial int, objective double, profit double, auc_testing double, cutoff double")
 
 
 def repeat_trial_(spark, sf):
-    return _one_row(spark, T.repeat_trial(T.load_pool(_task(spark, sf)), SHORT, repeats=3))
+    return _one_row(spark, boosting.repeat_trial(_task(spark, sf)))
 
 
 def plan_runner_(spark, sf):
@@ -148,7 +146,7 @@ def plan_runner_(spark, sf):
             train.withColumn("target", target_train(F.col("clase"))), test.withColumn("target", target_test(F.col("clase"))), FEATURES, ("k", "p")
         )
 
-    T.plan_runner(ledger, load, SHORT)
+    T.plan_runner(ledger, load, FULL)
     return ledger.experiments().join(ledger.plans().select(F.col("id").alias("plan_id"), F.col("finished").isNotNull().alias("done")), "plan_id").select(
         "id", "plan_id", "done", "train_periods", "test_periods", "profit", "cutoff", "auc_testing", "logloss_testing", "perfect_profit_ratio"
     )

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from tidepanel.catalog import datasets, learning, panels, relations, scalars, storage
+from tidepanel.catalog import boosting, datasets, learning, panels, relations, scalars, storage
 from tidepanel.catalog.views import Query
 
-_GROUPS = (storage, scalars, relations, panels, datasets, learning)
+_GROUPS = (storage, scalars, relations, panels, datasets, learning, boosting)
 
 
 def registry() -> dict[str, Query]:

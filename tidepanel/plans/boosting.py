@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import random
 import time
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import replace
 from functools import reduce
 
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tidepanel.operators import ensemble, evaluate
 from tidepanel.operators.boost import Binning, BoostParams, Forest, Model, learn_bins, train_models, train_rows
-from tidepanel.plans.training import Task, evaluate_scores, mean_metrics
+from tidepanel.plans.training import Box, Task, evaluate_scores, mean_metrics
 from tidepanel.session import pinned
 
 
@@ -133,6 +134,60 @@ def train_eval(task: Task, params: BoostParams = BoostParams(), cutoff: float |
     return repeat_trial(task, params, 1, cutoff)
 
 
+# Searched ranges of the two long searches. Borders are shared by all models of a pass, so their number is not searched.
+REPEATED_BOX = Box({
+    "depth": (6, 10), "iterations": (500, 1200), "l2_leaf_reg": (1, 30), "learning_rate": (1e-7, 1.0), "random_strength": (1.0, 20.0), "bagging_temperature": (0.0, 20.0),
+})
+CUTOFF_BOX = Box({
+    "depth": (1, 10), "iterations": (250, 1250), "l2_leaf_reg": (1, 10), "learning_rate": (1e-7, 1.0), "cutoff": (0.01, 0.1), "random_strength": (1, 20),
+})
+
+
+def judge_models(scored: DataFrame, cutoffs: Mapping[int, float]) -> DataFrame:
+    """(model, profit, cutoff, objective, auc_testing, logloss_testing) for all models of (sample, id, class, probs), in grouped passes.
+
+    The profit is that of the model's own cutoff, or the best of the sweep; the objective is its share of the perfect one.
+    """
+    rows = pinned(scored.where(F.col("sample") == "test").select("id", "class", F.posexplode("probs").alias("model", "prob")))
+    sweep = evaluate.cutoff_sweep(rows, by=["model"])
+    best = evaluate.best_cutoff(sweep, "max", by=["model"])
+    if cutoffs:
+        own = F.element_at(F.create_map(*[F.lit(x) for m, c in cutoffs.items() for x in (int(m), float(c))]), F.col("model"))
+        value = F.when(F.col("prob") > own, evaluate.payoff(F.col("class"))).otherwise(F.lit(0).cast("bigint"))
+        best = rows.groupBy("model").agg(F.max(own).alias("cutoff"), F.sum(value).alias("profit"))
+    ratio = F.coalesce(evaluate.profit_ratio(F.col("profit"), F.col("perfect_profit")), F.lit(0.0))
+    return (
+        best.join(evaluate.perfect_profit(rows, by=["model"]), "model")
+        .join(evaluate.auc(rows, by=["model"]).select("model", F.round("auc", 5).alias("auc_testing")), "model")
+        .join(evaluate.logloss(rows, by=["model"]).select("model", F.round("logloss", 5).alias("logloss_testing")), "model")
+        .select("model", F.col("profit").cast("double").alias("profit"), "cutoff", ratio.alias("objective"), "auc_testing", "logloss_testing")
+    )
+
+
+def param_sweep(task: Task, box: Box = CUTOFF_BOX, trials: int = 200, seed: int = 1, base: BoostParams = BoostParams(), repeats: int = 1) -> list[dict]:
+    """Draw points of the box, grow the models of all points together, judge them; best objective first.
+
+    With ``repeats`` a trial is that many models of different seeds, and its metrics are their means.
+    """
+    rng = random.Random(seed)
+    points = [box.draw(rng) for _ in range(trials)]
+    settings = [{k: v for k, v in point.items() if k != "cutoff"} for point in points]
+    if any("border_count" in s for s in settings):
+        raise ValueError("models of one pass share their borders: set border_count in base")
+    known = task.train.where(F.col(task.label).isNotNull())
+    binning = learn_bins(known, task.features, base.border_count)
+    models = [Model(replace(base, seed=base.seed + k, **s)) for s in settings for k in range(repeats)]
+    forest = train_models(train_rows(binning, known, task.label, row_id(task.id)), binning, models)
+    cutoffs = {i * repeats + k: p["cutoff"] for i, p in enumerate(points) if "cutoff" in p for k in range(repeats)}
+    judged = {r["model"]: r.asDict() for r in judge_models(_both_sides(forest, task), cutoffs).collect()}
+    found = []
+    for i, point in enumerate(points):
+        own = [judged[m] for m in range(i * repeats, (i + 1) * repeats) if m in judged]
+        means = mean_metrics([{k: v for k, v in r.items() if k != "model"} for r in own]) if own else {}
+        found.append({**means, "trial": i + 1, "hyperparams": point})
+    return sorted(found, key=lambda r: (-(r.get("objective") or 0.0), r["trial"]))
+
+
 def staged_metrics(forest: Forest, test: DataFrame, label: str, model: int = 0) -> DataFrame:
     """What a shorter training would have got: for each number of trees the best profit, its cutoff, the profit at the default cutoff and the log-loss.
 
