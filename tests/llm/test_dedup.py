@@ -229,3 +229,17 @@ def test_lists_stay_within_a_text(spark, monkeypatch):
     got = substring_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
     # Rows of id 5 lose the passage to id 1; rows without an id also lose the number after it and the last 20 words, which a row of id 5 has.
     assert sorted((r["doc_id"] or 99, r["n_removed"]) for r in got) == sorted([(1, 0), (7, 20)] + [(5, 20)] * 300 + [(99, 41)] * 300)
+
+
+def test_texts_of_one_id_with_like_hashes(spark):
+    """Two texts without an id whose 64-bit hashes agree in their lower 31 bits stay apart."""
+    import xxhash
+
+    passage = " ".join(f"p{i}" for i in range(20))
+    low = lambda t: xxhash.xxh64_intdigest(t.encode(), seed=42) & 0x7FFFFFFF
+    long = {low(t): t for t in (" ".join(f"own{k}-{i}" for i in range(40)) + " " + passage for k in range(60_000))}
+    short = next(t for t in (" ".join(f"other{k}-{i}" for i in range(16)) for k in range(2_000_000)) if low(t) in long)
+    rows = [(1, passage), (None, long[low(short)]), (None, short), (3, "z " + short)]
+    got = substring_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert sorted(((r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"]) for r in got), key=str) == plain_repeats(rows)
+    assert sorted(r["n_removed"] for r in got) == [0, 0, 16, 20]

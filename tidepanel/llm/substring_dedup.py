@@ -25,7 +25,7 @@ windows 128 bits.
 
 Defined results
 * A null text has no words. A document shorter than a window keeps all its words.
-* Anchors and places are gathered by id and, where rows share an id, by a hash of the text: no list outgrows one text.
+* Anchors and places are gathered by id and, where rows share an id, by a 128-bit hash of the text: no list outgrows one text, and no two texts share one.
 * Rows that share an id never remove words from each other; a null id counts as larger than any other.
 * Repeats inside one document stay. An empty table gives an empty result. Other columns are not read.
 """
@@ -120,18 +120,20 @@ def runs_of(*sorted_keys: np.ndarray) -> np.ndarray:
 
 
 def _seeds(threshold: int, anchor: int):
-    """(anchor, id, mark): the selected anchors of each document, each once; a mark is 4 times the text's tag plus the state."""
-    schema = pa.schema([("anchor", pa.int64()), ("id", pa.int64()), ("mark", pa.int64())])
+    """(anchor, id, tag, state): the selected anchors of each document, each once."""
+    schema = pa.schema([("anchor", pa.int64()), ("id", pa.int64()), ("tag", pa.binary()), ("state", pa.int64())])
 
-    def settled(anchors: list[np.ndarray], ids: list[np.ndarray], tags: list[np.ndarray]) -> pa.RecordBatch:
-        a, i, tag = np.concatenate(anchors).view(np.int64), np.concatenate(ids), np.concatenate(tags)
+    def settled(anchors: list[np.ndarray], ids: list[int], tags: list[bytes]) -> pa.RecordBatch:
+        a = np.concatenate(anchors).view(np.int64)
+        of = np.repeat(np.arange(len(ids)), [len(x) for x in anchors])
+        i = np.array(ids, np.int64)[of]
         order = np.lexsort((i, a))
-        a, i, tag = a[order], i[order], tag[order]
+        a, i, of = a[order], i[order], of[order]
         begins = runs_of(a)
         lengths = np.diff(np.append(begins, len(a)))
         later = i > np.repeat(i[begins], lengths)
         state = np.where(later, LATER, np.repeat(np.where(np.logical_or.reduceat(later, begins), LEAST, ALONE), lengths))
-        return _batch(schema, a, i, tag * 4 + state)
+        return _batch(schema, a, i, pa.array(tags, pa.binary()).take(pa.array(of)), state)
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHash()
@@ -144,8 +146,8 @@ def _seeds(threshold: int, anchor: int):
                 runs, at = selected(hashes.of(words), threshold, anchor)
                 own = np.unique(runs[np.unique(at)])
                 out.append(own)
-                ids.append(np.full(len(own), id_, np.int64))
-                tags.append(np.full(len(own), tag, np.int64))
+                ids.append(id_)
+                tags.append(tag)
                 size += len(own)
                 if size > BLOCK_ROWS:
                     yield settled(out, ids, tags)
@@ -157,63 +159,68 @@ def _seeds(threshold: int, anchor: int):
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of (anchor, id, mark) sorted by anchor and id, those whose anchor has more than one id.
+    """Of (anchor, id, tag, state) sorted by anchor and id, those whose anchor has more than one id.
 
     Where rows share the smallest id, all but the first are told without waiting for a larger id: that costs a needless extension.
     """
+    names = ["id", "tag", "anchor"]
 
     def told_of(i, tag, a) -> pa.RecordBatch:
-        return pa.record_batch([pa.array(c, pa.int64()) for c in (i, tag, a)], names=["id", "tag", "anchor"])
+        return pa.record_batch([pa.array(i, pa.int64()), tag, pa.array(a, pa.int64())], names=names)
 
     anchor, first, first_tag, told = None, None, None, True
     for batch in batches:
-        a, i, mark = (batch.column(k).to_numpy() for k in range(3))
-        tag, state = mark >> 2, mark & 3
+        a, i, state = (batch.column(k).to_numpy() for k in (0, 1, 3))
+        tag = batch.column(2)
         known = state == LATER
         if known.any():
-            yield told_of(i[known], tag[known], a[known])
-            a, i, tag, state = a[~known], i[~known], tag[~known], state[~known]
+            yield told_of(i[known], tag.filter(pa.array(known)), a[known])
+            a, i, tag, state = a[~known], i[~known], tag.filter(pa.array(~known)), state[~known]
         if not len(a):
             continue
         begins = runs_of(a)
-        least, least_tag = i[begins].copy(), tag[begins].copy()
+        least, least_at = i[begins].copy(), begins
         continued = anchor is not None and a[0] == anchor
         if continued:
-            least[0], least_tag[0] = first, first_tag
+            least[0] = first
         later = i > np.repeat(least, np.diff(np.append(begins, len(a))))
         more = np.logical_or.reduceat(later | (state == LEAST), begins)
         if continued and more[0] and not told:
-            yield told_of([first], [first_tag], [anchor])
+            yield told_of([first], pa.array([first_tag], pa.binary()), [anchor])
         keep = np.ones(len(a), bool)
         keep[begins[1:] if continued else begins] = more[1:] if continued else more
-        yield told_of(i[keep], tag[keep], a[keep])
+        yield told_of(i[keep], tag.filter(pa.array(keep)), a[keep])
         told = bool(more[-1]) or (continued and len(begins) == 1 and told)
-        anchor, first, first_tag = int(a[-1]), int(least[-1]), int(least_tag[-1])
+        if not (continued and len(begins) == 1):
+            first_tag = tag[int(least_at[-1])].as_py()
+        anchor, first = int(a[-1]), int(least[-1])
 
 
 def _windows(threshold: int, anchor: int):
-    """(w1, w2, id, place) for each distinct window whose anchor is shared.
+    """(w1, w2, id, tag, place) for each distinct window whose anchor is shared.
 
-    place holds the text's tag and the first start; it is negative if a smaller id in the block has the window too.
+    place is the first start; it is negative if a smaller id in the block has the window too.
     """
-    schema = pa.schema([("w1", pa.int64()), ("w2", pa.int64()), ("id", pa.int64()), ("place", pa.int64())])
+    schema = pa.schema([("w1", pa.int64()), ("w2", pa.int64()), ("id", pa.int64()), ("tag", pa.binary()), ("place", pa.int64())])
 
-    def settled(rows: list[tuple]) -> pa.RecordBatch:
-        w1, w2, i, place = map(np.concatenate, zip(*rows, strict=True))
+    def settled(rows: list[tuple], ids: list[int], tags: list[bytes]) -> pa.RecordBatch:
+        of = np.repeat(np.arange(len(ids)), [len(r[0]) for r in rows])
+        w1, w2, place = map(np.concatenate, zip(*rows, strict=True))
+        i = np.array(ids, np.int64)[of]
         order = np.lexsort((i, w2, w1))
-        w1, w2, i, place = w1[order], w2[order], i[order], place[order]
+        w1, w2, i, place, of = w1[order], w2[order], i[order], place[order], of[order]
         begins = runs_of(w1, w2)
         later = i > np.repeat(i[begins], np.diff(np.append(begins, len(i))))
-        return _batch(schema, w1, w2, i, np.where(later, place | _SIGN, place))
+        return _batch(schema, w1, w2, i, pa.array(tags, pa.binary()).take(pa.array(of)), np.where(later, place | _SIGN, place))
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHash()
-        out, size = [], 0
+        out, ids, tags, size = [], [], [], 0
         for batch in batches:
             plain = [batch.column(k).to_pylist() for k in (1, 2, 5)]
-            for id_, tag, copies, text, seeds in zip(*plain, batch.column(3), batch.column(4), strict=True):
+            for id_, tag, copy, text, seeds in zip(*plain, batch.column(3), batch.column(4), strict=True):
                 words = text.as_py().split()
-                if len(words) < threshold or tag in copies:
+                if len(words) < threshold or copy:
                     continue
                 x = hashes.of(words)
                 runs, at = selected(x, threshold, anchor)
@@ -225,27 +232,31 @@ def _windows(threshold: int, anchor: int):
                 w1, once = np.unique(w1, return_index=True)
                 start = start[once]
                 w2 = run_hashes(x, threshold, 2)[start]
-                place = (np.int64(tag) << np.int64(32)) | start.astype(np.int64)
-                out.append((w1.view(np.int64), w2.view(np.int64), np.full(len(start), id_, np.int64), place))
+                out.append((w1.view(np.int64), w2.view(np.int64), start.astype(np.int64)))
+                ids.append(id_)
+                tags.append(tag)
                 size += len(start)
                 if size > BLOCK_ROWS:
-                    yield settled(out)
-                    out, size = [], 0
+                    yield settled(out, ids, tags)
+                    out, ids, tags, size = [], [], [], 0
         if out:
-            yield settled(out)
+            yield settled(out, ids, tags)
 
     return made
 
 
 def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of rows sorted by (w1, w2, id), those that are not at the smallest id of their window; a negative place is known not to be."""
+    names = ["id", "tag", "place"]
     last, first = None, None
     for batch in batches:
-        w1, w2, i, place = (batch.column(k).to_numpy() for k in range(4))
+        w1, w2, i, place = (batch.column(k).to_numpy() for k in (0, 1, 2, 4))
+        tag = batch.column(3)
         known = place < 0
         if known.any():
-            yield pa.record_batch([pa.array(i[known]), pa.array(place[known] & ~_SIGN)], names=["id", "place"])
+            yield pa.record_batch([pa.array(i[known]), tag.filter(pa.array(known)), pa.array(place[known] & ~_SIGN)], names=names)
             w1, w2, i, place = (c[~known] for c in (w1, w2, i, place))
+            tag = tag.filter(pa.array(~known))
         if not len(i):
             continue
         begins = runs_of(w1, w2)
@@ -253,7 +264,7 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if last == (int(w1[0]), int(w2[0])):
             least[0] = first
         later = i > np.repeat(least, np.diff(np.append(begins, len(i))))
-        yield pa.record_batch([pa.array(i[later]), pa.array(place[later])], names=["id", "place"])
+        yield pa.record_batch([pa.array(i[later]), tag.filter(pa.array(later)), pa.array(place[later])], names=names)
         last, first = (int(w1[-1]), int(w2[-1])), int(least[-1])
 
 
@@ -268,12 +279,11 @@ def _cut(threshold: int, keep_text: bool):
         hashes = WordHash()
         for batch in batches:
             rows = [[] for _ in schema]
-            for doc_id, tag, text, places in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3), batch.column(4), strict=True):
+            for doc_id, text, places in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
                 words = text.as_py().split()
                 n, spans = len(words), []
                 kept = words
-                place = places.values.to_numpy() if places.is_valid else np.empty(0, np.int64)
-                start = (place[place >> 32 == tag] & COPY).astype(np.int64)
+                start = places.values.to_numpy() if places.is_valid else np.empty(0, np.int64)
                 if (start == COPY).any():
                     if n >= threshold:
                         kept, spans = [], [{"start": 0, "end": n}]
@@ -306,38 +316,37 @@ def remove_repeats(
     and what is shuffled beside the texts is narrow.
     """
     texts = narrowed(docs, id_col, text_col).select(
-        "doc_id",
-        F.coalesce("doc_id", F.lit(NO_ID)).alias("id"),
-        F.xxhash64("text").bitwiseAND(F.lit(0x7FFFFFFF)).alias("tag"),
-        F.col("text").cast("binary").alias("text"),
+        "doc_id", F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), F.col("text").cast("binary").alias("text")
     )
     # Ids of one row need no tag; where repeated ids are too many to list, all have one.
     shared_ids = pinned(texts.groupBy(F.col("id").alias("__shared")).count().filter("count > 1").select("__shared"))
+    tag = content_hash(F.col("text"))
     if shared_ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        tag = F.when(F.col("__shared").isNotNull(), F.col("tag")).otherwise(F.lit(0).cast("bigint")).alias("tag")
-        texts = texts.join(F.broadcast(shared_ids), F.col("id") == F.col("__shared"), "left").select("doc_id", "id", tag, "text")
+        texts = texts.join(F.broadcast(shared_ids), F.col("id") == F.col("__shared"), "left")
+        tag = F.when(F.col("__shared").isNotNull(), tag).otherwise(F.lit(b""))
+    texts = texts.select("doc_id", "id", tag.alias("tag"), "text")
     # Narrow rows: which (id, tag) have their text in a document of a smaller id.
     rows = texts.select("id", "tag", content_hash(F.col("text")).alias("h")).distinct()
     firsts = rows.groupBy("h").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first < last")
     copies = rows.join(firsts.select(F.col("h").alias("__h"), "first"), (F.col("h") == F.col("__h")) & (F.col("id") > F.col("first"))).select("id", "tag")
 
-    anchors = texts.select("id", "tag", "text").mapInArrow(_seeds(threshold, anchor), "anchor bigint, id bigint, mark bigint")
-    dealt = F.when(F.col("mark").bitwiseAND(3) == LATER, F.xxhash64("anchor", "id")).otherwise(F.col("anchor"))
-    shared = anchors.repartition(dealt).sortWithinPartitions("anchor", "id").mapInArrow(_shared, "id bigint, tag bigint, anchor bigint")
-    known = shared.withColumn("copy", F.lit(None).cast("bigint")).unionByName(copies.select("id", "tag", F.lit(None).cast("bigint").alias("anchor"), F.col("tag").alias("copy")))
+    anchors = texts.select("id", "tag", "text").mapInArrow(_seeds(threshold, anchor), "anchor bigint, id bigint, tag binary, state bigint")
+    dealt = F.when(F.col("state") == LATER, F.xxhash64("anchor", "id")).otherwise(F.col("anchor"))
+    shared = anchors.repartition(dealt).sortWithinPartitions("anchor", "id").mapInArrow(_shared, "id bigint, tag binary, anchor bigint")
+    nothing = F.lit(None).cast("bigint").alias("anchor")
+    known = shared.withColumn("copy", F.lit(False)).unionByName(copies.select("id", "tag", nothing, F.lit(True).alias("copy")))
     # Sets: rows with one id and text tell the same.
-    seeds = known.groupBy(F.col("id").alias("__id"), F.col("tag").alias("__tag")).agg(F.collect_set("anchor").alias("seeds"), F.collect_set("copy").alias("copies"))
+    seeds = known.groupBy(F.col("id").alias("__id"), F.col("tag").alias("__tag")).agg(F.collect_set("anchor").alias("seeds"), F.max("copy").alias("copy"))
     same_text = (F.col("id") == F.col("__id")) & (F.col("tag") == F.col("__tag"))
     # Both joins read the texts with the same columns, so they are shuffled once.
-    seeded = texts.join(seeds, same_text).select("doc_id", "id", "tag", "text", "seeds", "copies")
-    windows = seeded.mapInArrow(_windows(threshold, anchor), "w1 bigint, w2 bigint, id bigint, place bigint")
+    seeded = texts.join(seeds, same_text).select("doc_id", "id", "tag", "text", "seeds", "copy")
+    windows = seeded.mapInArrow(_windows(threshold, anchor), "w1 bigint, w2 bigint, id bigint, tag binary, place bigint")
     dealt = F.when(F.col("place") < 0, F.xxhash64("w1", "id", "place")).otherwise(F.col("w1"))
-    repeated = windows.repartition(dealt).sortWithinPartitions("w1", "w2", "id").mapInArrow(_repeated, "id bigint, place bigint")
-    repeated = repeated.unionByName(copies.select("id", F.shiftleft("tag", 32).bitwiseOR(F.lit(COPY).cast("bigint")).alias("place")))
-    places = repeated.groupBy(F.col("id").alias("__id"), F.shiftright("place", 32).alias("__tag")).agg(F.collect_set("place").alias("places"))
+    repeated = windows.repartition(dealt).sortWithinPartitions("w1", "w2", "id").mapInArrow(_repeated, "id bigint, tag binary, place bigint")
+    repeated = repeated.unionByName(copies.select("id", "tag", F.lit(COPY).cast("bigint").alias("place")))
+    places = repeated.groupBy(F.col("id").alias("__id"), F.col("tag").alias("__tag")).agg(F.collect_set("place").alias("places"))
     ddl = "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string, spans array<struct<start:bigint,end:bigint>>"
     return (
-        texts.join(places, same_text, "left")
-        .select("doc_id", "id", "tag", "text", "places")
+        texts.join(places, same_text, "left").select("doc_id", "text", "places")
         .mapInArrow(_cut(threshold, keep_text), ddl + ", kept_text string" * keep_text)
     )
