@@ -320,7 +320,8 @@ def remove_repeats(
     )
     # Ids of one row need no tag; where repeated ids are too many to list, all have one.
     shared_ids = pinned(texts.groupBy(F.col("id").alias("__shared")).count().filter("count > 1").select("__shared"))
-    tag = content_hash(F.col("text"))
+    # Never null, and known not to be: else the two joins would filter the texts differently and shuffle them twice.
+    tag = F.coalesce(content_hash(F.col("text")), F.lit(b""))
     if shared_ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         texts = texts.join(F.broadcast(shared_ids), F.col("id") == F.col("__shared"), "left")
         tag = F.when(F.col("__shared").isNotNull(), tag).otherwise(F.lit(b""))
