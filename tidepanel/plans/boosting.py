@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidepanel.operators import ensemble, evaluate
+from tidepanel.operators import encode, ensemble, evaluate
 from tidepanel.operators.boost import Binning, BoostParams, Forest, Model, learn_bins, train_models, train_rows
 from tidepanel.plans.training import Box, Task, evaluate_scores, mean_metrics
 from tidepanel.session import pinned
@@ -26,6 +26,18 @@ def seeds_matter(params: BoostParams, n_models: int) -> None:
         raise ValueError("models without row weights and noise do not differ by their seed")
 
 
+def encode_task(task: Task, categorical: Sequence[str] = (), prior: float = encode.PRIOR, weight: float = 1.0, seed: int = 1) -> Task:
+    """The task with its category columns replaced by target statistics: of earlier rows in train, of all train rows in test."""
+    columns = tuple(categorical or task.categorical)
+    train, test = task.train.withColumn("__order", F.concat_ws("-", *[F.col(c).cast("string") for c in task.id])), task.test
+    for c in columns:
+        totals = pinned(encode.target_totals(task.train, c, task.label))
+        train = encode.ordered_target_statistics(train, c, task.label, "__order", prior=prior, weight=weight, seed=seed)
+        test = encode.with_target_statistics(test, totals, c, prior=prior, weight=weight)
+    features = tuple(f"{f}__ts" if f in columns else f for f in task.features)
+    return replace(task, train=train.drop("__order"), test=test, features=features, categorical=())
+
+
 def bagging(
     train: DataFrame, features: Sequence[str], label: str, id: Sequence[str], params: BoostParams = BoostParams(), n_models: int = 10,
 ) -> Forest:
