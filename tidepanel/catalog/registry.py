@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from tidepanel.catalog import boosting, datasets, encoding, learning, panels, relations, scalars, storage
+from tidepanel.catalog import association, boosting, datasets, encoding, learning, panels, relations, scalars, storage
 from tidepanel.catalog.views import Query
 
-_GROUPS = (storage, scalars, relations, panels, datasets, learning, boosting, encoding)
+_GROUPS = (storage, scalars, relations, panels, datasets, learning, boosting, encoding, association)
 
 
 def registry() -> dict[str, Query]:
