@@ -36,6 +36,11 @@ def reconcile_anti_(spark, sf):
     return reconcile.reconcile_anti(left, right, "p")
 
 
+def reconcile_by_hash_(spark, sf):
+    left, right = _two_versions(spark, sf)
+    return reconcile.reconcile_by_hash(left, right, "p")
+
+
 RECONCILE_SQL = with_(TWO_VERSIONS) + """,
 ll AS (SELECT p, count(*) AS n FROM l WHERE NOT EXISTS (
          SELECT 1 FROM r WHERE r.k = l.k AND r.p = l.p AND r.m = l.m AND r.t IS NOT DISTINCT FROM l.t) GROUP BY p),
@@ -362,6 +367,7 @@ SELECT doc_id, quality, count(*) AS copies FROM u GROUP BY ALL"""
 
 QUERIES = {
     "reconcile_anti": Query(reconcile_anti_, RECONCILE_SQL),
+    "reconcile_by_hash": Query(reconcile_by_hash_, RECONCILE_SQL),
     "reconcile_rows": Query(reconcile_rows_, RECONCILE_ROWS_SQL),
     "reconcile_types": Query(reconcile_types_, RECONCILE_TYPES_SQL),
     "ensemble_full_join": Query(ensemble_full_join_, with_(FULL_JOIN) + "SELECT * FROM wide"),
