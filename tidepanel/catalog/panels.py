@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidepanel.catalog.views import (
-    EXPERIMENTS, PANEL_C, PANEL_S, SCORES, Query, experiments, panel_c, panel_s, scores, table, with_,
+    EXPERIMENTS, PANEL_C, PANEL_S, SCORES, Query, cents, experiments, panel_c, panel_s, scores, table, with_,
 )
 from tidepanel.functions.periods import backward_months, period_of_date
 from tidepanel.operators import ensemble, evaluate, ledger, panel
+from tidepanel.operators.between import history_between
 
 # Values of three months ago to now, by joins on the month count.
 LAGS_C = PANEL_C + """,
@@ -227,7 +228,35 @@ FOLD_SPLIT_SQL = with_(FOLDS) + """
 SELECT CASE WHEN fold = 1 THEN 'test' ELSE 'train' END AS side, count(*) AS n, CAST(sum(class) AS BIGINT) AS hits
 FROM folds GROUP BY 1"""
 
+HOUR = 3_600_000_000
+
+
+def _micros(ts: str):
+    """Microseconds since 1970, whatever the session's time zone."""
+    days = F.datediff(F.col(ts), F.lit("1970-01-01").cast("date")).cast("bigint")
+    seconds = (F.extract(F.lit("SECOND"), F.col(ts)) * 1_000_000).cast("bigint")
+    minutes = (F.hour(ts) * 60 + F.minute(ts)).cast("bigint")
+    return days * (24 * HOUR) + minutes * (HOUR // 60) + seconds
+
+
+def history_between_(spark, sf):
+    """For each event the user's earlier ones, as far back as one hour to three days and up to four minutes before: each row has its own bounds."""
+    events = table(spark, sf, "events").select("event_id", "user_id", _micros("ts").alias("t"), cents("value").alias("v"))
+    back, gap = (F.col("event_id") % 72 + 1) * HOUR, F.col("event_id") % 5 * (HOUR // 60)
+    return history_between(
+        events, events, ["event_id"], "user_id", F.col("t") - back, F.col("t") - gap, F.col("t"), F.col("v"),
+        {"n": "count", "total": "sum", "mean": "avg", "most": "max", "least": "min"}, width=6 * HOUR,
+    )
+
+
+HISTORY_BETWEEN_SQL = """
+WITH e AS (SELECT event_id, user_id, epoch_us(ts) AS t, CAST(round(value * 100) AS BIGINT) AS v FROM events)
+SELECT a.event_id, count(b.v) AS n, CAST(sum(b.v) AS BIGINT) AS total, CAST(sum(b.v) AS DOUBLE) / nullif(count(b.v), 0) AS mean, max(b.v) AS most, min(b.v) AS least
+FROM e AS a LEFT JOIN e AS b ON b.user_id = a.user_id AND b.t > a.t - (a.event_id % 72 + 1) * 3600000000 AND b.t < a.t - a.event_id % 5 * 60000000
+GROUP BY a.event_id"""
+
 QUERIES = {
+    "history_between": Query(history_between_, HISTORY_BETWEEN_SQL),
     "backward_months": Query(backward_months_, BACKWARD_SQL),
     "panel_lags": Query(panel_lags_, PANEL_LAGS_SQL),
     "salary_flag": Query(salary_flag_, SALARY_SQL),
