@@ -10,6 +10,8 @@ from tidepanel.catalog.views import (
 from tidepanel.functions.periods import backward_months, period_of_date
 from tidepanel.operators import ensemble, evaluate, ledger, panel
 from tidepanel.operators.between import history_between
+from tidepanel.plans.months import MonthStore
+from tidepanel.session import scratch_path
 
 # Values of three months ago to now, by joins on the month count.
 LAGS_C = PANEL_C + """,
@@ -90,9 +92,26 @@ LEFT JOIN panel_s l2 ON l2.k = t.k AND l2.mi = t.mi - 2
 LEFT JOIN panel_s l3 ON l3.k = t.k AND l3.mi = t.mi - 3"""
 
 
+ALL_TRENDS = panel.PanelSpec(key="k", period="p", features=("m",), max_min=True, salary="t")
+
+
+def panel_append_(spark, sf):
+    """All but the newest three months at once, then these one after the other."""
+    rows = panel_c(spark, sf).drop("mi")
+    # One row per month.
+    months = [r["p"] for r in rows.select("p").distinct().orderBy("p").collect()]
+    store = MonthStore(spark, scratch_path(spark, "months"), ALL_TRENDS, rows.schema)
+    for periods in (months[:-3], *[[p] for p in months[-3:]]):
+        if periods:
+            store.append(rows, periods)
+    return _named_trends(store.features())
+
+
 def panel_features_(spark, sf):
-    spec = panel.PanelSpec(key="k", period="p", features=("m",), max_min=True, salary="t")
-    made = panel.panel_features(panel_c(spark, sf), spec)
+    return _named_trends(panel.panel_features(panel_c(spark, sf), ALL_TRENDS))
+
+
+def _named_trends(made):
     names = {
         "m__MAX": "hi", "m__MIN": "lo", "m__CREC_POLI": "growth_poly", "m__CREC_DIFINI": "growth_findiff",
         "m__ACEL_POLI": "accel_poly", "m__ACEL_DIFINI": "accel_findiff", "m__ACEL_POLI__CAT_POLI": "category",
@@ -274,6 +293,7 @@ QUERIES = {
     ),
     "trend_relative": Query(_feature("m__ANDREU", _only(trend_relative=True)), _feature_sql(RELATIVE)),
     "panel_features": Query(panel_features_, PANEL_FEATURES_SQL),
+    "panel_append": Query(panel_append_, PANEL_FEATURES_SQL),
     "history_theta_join": Query(history_theta_join_, HISTORY_THETA_SQL),
     "history_avg": Query(history_avg_, HISTORY_AVG_SQL),
     "history_max": Query(_history({"maxi": "max"}), _history_sql("max(h.v)", "maxi", "h.mi >= t.mi - 6")),
