@@ -193,6 +193,27 @@ def test_recall_of_edits_in_one_place(spark, n):
     assert got <= {(i, i) for i, _ in items} and len(got) >= decontaminate.RECALL * len(items)
 
 
+@pytest.mark.parametrize("n", [20, 25, 30, 60, 120, 400])
+def test_recall_of_each_kind_of_edit_alone(spark, n):
+    """500 items of each kind: as many words replaced, added or dropped here and there as the distance allows."""
+    rng = random.Random(n)
+    words = [f"w{i}" for i in range(3000)]
+    k, rows, items = decontaminate.allowed(n), [], []
+    for i in range(1500):
+        x = [rng.choice(words) for _ in range(n)]
+        y = list(x)
+        for _ in range(k):
+            p = rng.randrange(len(y))
+            y[p : p + (i % 3 != 1)] = [rng.choice(words)] * (i % 3 != 2)
+        items.append((i, " ".join(x)))
+        rows.append((i, " ".join([rng.choice(words) for _ in range(40)] + y + [rng.choice(words) for _ in range(40)])))
+    docs, benchmark = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(8), spark.createDataFrame(items, "item_id bigint, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.find_leaks(docs, benchmark).collect()}
+    assert got <= {(i, i) for i, _ in items}
+    found = [sum(i % 3 == kind for i, _ in got) / 500 for kind in range(3)]
+    assert min(found) >= decontaminate.RECALL, found
+
+
 def test_short_items_are_searched_exactly(spark):
     rng = random.Random(3)
     words = [f"w{i}" for i in range(12)]

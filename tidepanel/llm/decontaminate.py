@@ -9,8 +9,9 @@ that differ by a tenth) at each start that the bound below allows. Items of more
 than ``SEGMENT_WORDS`` words are cut into segments of equal length, each with keys
 of its own: of m segments at least one has at most an m-th of the allowed edits,
 wherever in the item they lie. Repetitions are added until pairs at the largest
-allowed distance meet with the target recall and a margin, with the edits spread
-at random and with all of them in one place; if they never do, it is an error.
+allowed distance meet with the target recall and a margin: with words replaced, added or
+dropped here and there, each alone and mixed, and with one passage edited; if they
+never do, it is an error.
 Each document and item that meet are verified by the exact edit distance between
 the item and the best matching part of the text.
 
@@ -61,7 +62,7 @@ PAIR_SLOTS = 1 << 22
 SAMPLED = 3
 MAX_REPEATS = 64
 # Longer items are cut: the further a walk goes, the more edits it has to get over.
-SEGMENT_WORDS = 60
+SEGMENT_WORDS = 25
 # Words that are embedded at once; bounds the memory of a task.
 CHUNK_WORDS = 500_000
 STARTS_AT_ONCE = 8_000
@@ -133,15 +134,16 @@ class Walk:
         return out
 
 
-PLACES = ("spread", "head", "middle", "tail")
+KINDS = ("replaced", "added", "dropped")
+PLACES = ("spread", *KINDS, "head", "middle", "tail")
 
 
 def edited(rng: np.random.Generator, a: np.ndarray, edits: int, place: str, vocabulary: int) -> list[int]:
-    """``a`` after so many edits: of random kinds at random places, or one passage replaced, dropped or grown."""
+    """``a`` after so many edits: of random kinds or of one kind at random places, or one passage replaced, dropped or grown."""
     b, word = a.tolist(), lambda: int(rng.integers(2, vocabulary))
-    if place == "spread":
+    if place == "spread" or place in KINDS:
         for _ in range(edits):
-            kind, p = rng.integers(3), int(rng.integers(len(b)))
+            kind, p = rng.integers(3) if place == "spread" else KINDS.index(place), int(rng.integers(len(b)))
             if kind == 0:
                 b[p] = word()
             elif kind == 1:
@@ -157,7 +159,7 @@ def edited(rng: np.random.Generator, a: np.ndarray, edits: int, place: str, voca
 def repeats_for(recall: float, similarity: float, length: int, trials: int = 400, vocabulary: int = 500) -> int:
     """Repetitions after which random pairs at the largest allowed distance meet with the given recall.
 
-    The share that met must exceed it by two standard errors, as it is an estimate; it must for edits in each of ``PLACES``.
+    The share that met must exceed it by two standard errors, as it is an estimate; it must for each of ``PLACES``.
     """
     rng = np.random.default_rng(11)
     walk = Walk(length, MAX_REPEATS)
