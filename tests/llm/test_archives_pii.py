@@ -60,6 +60,90 @@ def test_salvage(packed):
     assert (offsets[3], offsets[5]) in gaps and len(gaps) == 5
 
 
+def foreign(kind, block, *headers):
+    head = [b"WARC/1.0", b"WARC-Type: " + kind, b"WARC-Record-ID: <urn:uuid:0>", *headers, b"Content-Length: %d" % len(block)]
+    return b"\r\n".join(head) + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+
+def test_records_of_other_writers(spark, tmp_path):
+    body = b"<p>hello</p>"
+    plain, chunked = b"HTTP/1.1 200 OK\r\n\r\n" + body, b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\n5;x=1\r\n<p>he\r\n7\r\nllo</p>\r\n0\r\n\r\n"
+    sha256 = hashlib.sha256(body).hexdigest().encode()
+    records = [
+        foreign(b"warcinfo", b"software: other\r\n"), foreign(b"request", b"GET / HTTP/1.1\r\n\r\n", b"WARC-Target-URI: http://a"),
+        foreign(b"response", plain, b"WARC-Target-URI: http://a"), foreign(b"response", chunked, b"WARC-Payload-Digest: sha1:" + warc.digest(body).encode()),
+        foreign(b"response", plain, b"WARC-Payload-Digest: sha256:" + sha256), foreign(b"response", plain, b"WARC-Payload-Digest: blake9:abc"),
+        foreign(b"metadata", b"a: b"), foreign(b"resource", b"\x89PNG", b"WARC-Target-URI: http://b"), foreign(b"response", b"no http at all"),
+        foreign(b"revisit", b"HTTP/1.1 304 Not Modified\r\n\r\n", b"WARC-Payload-Digest: sha1:ABC"),
+    ]
+    kinds = ["warcinfo", "request", "response", "response", "response", "response", "metadata", "resource", "response", "revisit"]
+    for data in (b"".join(records), b"".join(map(warc.member, records)), warc.member(b"".join(records)), warc.member(b"".join(records[:4])) + b"".join(records[4:])):
+        found = list(warc.salvage(data))
+        assert [f["record_type"] for k, _, _, f in found if k == "record"] == kinds and all(k == "record" for k, *_ in found)
+        replies = [f for _, _, _, f in found if f["record_type"] == "response"]
+        assert [(f["payload"], f["payload_digest"]) for f in replies[:4]] == [(body, warc.digest(body))] * 4 and replies[4]["payload"] == b"no http at all"
+        assert found[-1][3]["payload_digest"] == "ABC" and found[0][3]["payload_bytes"] is None
+    # A digest that is stated and known has to be right.
+    for wrong in (b"WARC-Payload-Digest: sha256:" + sha256[::-1], b"WARC-Block-Digest: md5:" + b"0" * 32):
+        assert [k for k, *_ in warc.salvage(foreign(b"response", plain, wrong))] == ["gap"]
+    # A record that is lost inside a whole member is a gap of the member's range; the others come back.
+    spoiled = warc.member(records[2] + records[3].replace(b"hello", b"HELLO").replace(b"he\r\n", b"HE\r\n") + records[4])
+    assert [(k, a, b) for k, a, b, _ in warc.salvage(spoiled)] == [("record", 0, len(spoiled))] * 2 + [("gap", 0, len(spoiled))]
+    path = tmp_path / "other.warc.gz"
+    path.write_bytes(b"".join(map(warc.member, records)))
+    rows = warc.read_archives(spark.createDataFrame([(f"file://{path}",)], "file string"), keep_payload=False).collect()
+    assert [r["record_type"] for r in rows] == kinds and [r["url"] for r in rows][1:3] == ["http://a"] * 2
+
+
+def test_an_archive_is_read_through_a_window(tmp_path, monkeypatch):
+    """A file of many members and one that inflates without end: what is held stays near the longest record."""
+    import pyarrow.fs as fs
+
+    rng = random.Random(8)
+    parts = [warc.member(warc.record(i, "u", rng.randbytes(300_000), None)) for i in range(120)]
+    parts.insert(60, warc.member(foreign(b"response", b"HTTP/1.1 200 OK\r\n\r\n" + b"0" * (64 << 20))))
+    path = tmp_path / "long.warc.gz"
+    path.write_bytes(b"".join(parts) + b"\r\n trailing junk")
+    monkeypatch.setattr(warc, "MAX_RECORD_BYTES", 8 << 20)
+    place, name = fs.FileSystem.from_uri(f"file://{path}")
+    reads = []
+    with place.open_input_file(name) as opened:
+        real = opened.read
+
+        class Counted:
+            size, seek = staticmethod(opened.size), staticmethod(opened.seek)
+
+            @staticmethod
+            def read(n):
+                reads.append(n)
+                return real(n)
+
+        found = [(k, w["page_id"] if k == "record" else w) for k, _, _, w in warc.salvage(Counted())]
+    assert [p for k, p in found if k == "record"] == list(range(120))
+    assert [p for k, p in found if k == "gap"] == ["too long", "no record header"] and max(reads) <= 9 << 20
+
+
+def test_lost_records_are_told(spark, monkeypatch):
+    pages = spark.createDataFrame([(i, "u", f"page {i}") for i in range(20)], "page_id bigint, url string, html string")
+    real = warc.write_archives
+
+    def damaged(*args, **options):
+        files = real(*args, **options)
+        path = files.filter("records > 0").first()["file"].removeprefix("file:")
+        data = bytearray(open(path, "rb").read())
+        data[len(data) // 2] ^= 0xFF
+        open(path, "wb").write(data)
+        return files
+
+    monkeypatch.setattr(warc, "write_archives", damaged)
+    with pytest.raises(ValueError, match="came back"):
+        warc.archived(pages)
+
+
+def test_names_of_file_systems():
+    assert warc.arrow_uri("s3a://bucket/a.warc.gz") == "s3://bucket/a.warc.gz" and warc.arrow_uri("/a/b") == "/a/b" and warc.arrow_uri("hdfs://h/a") == "hdfs://h/a"
+
+
 def keyed(key, *parts):
     return int(hashlib.sha256("|".join([key, *map(str, parts)]).encode()).hexdigest()[:15], 16)
 
