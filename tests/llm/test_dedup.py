@@ -58,6 +58,12 @@ def test_drop_copies(docs, odd, empty):
     assert [r["doc_id"] for r in exact_dedup.drop_copies(odd).filter("text = 'same text'").collect()] == [6]
 
 
+def test_drop_copies_of_rows_with_maps(spark):
+    rows = [(1, "a", {"k": 2}), (1, "a", {"k": 1}), (1, "a", None), (2, "a", {"k": 9}), (2, "a", {"k": 8}), (3, "b", {})]
+    left = exact_dedup.drop_copies(spark.createDataFrame(rows, "doc_id bigint, text string, m map<string,int>"))
+    assert sorted((r["doc_id"], r["m"]) for r in left.collect()) == [(2, {"k": 8}), (3, {})]
+
+
 def plain_fingerprint(text):
     words = text.encode().lower().split()
     if not words:

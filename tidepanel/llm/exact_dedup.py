@@ -13,6 +13,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, CalendarIntervalType, DataType, MapType, StructType, VariantType
 
 from tidepanel.llm.common import narrowed, same_key, small_side, without
 from tidepanel.session import pinned
@@ -65,10 +66,22 @@ def exact_classes(
     )
 
 
+def sortable(schema: StructType) -> list[Column]:
+    """The columns as values that can be ordered; maps and what holds them as JSON."""
+
+    def ordered(kind: DataType) -> bool:
+        if isinstance(kind, StructType):
+            return all(ordered(f.dataType) for f in kind.fields)
+        return ordered(kind.elementType) if isinstance(kind, ArrayType) else not isinstance(kind, MapType | VariantType | CalendarIntervalType)
+
+    columns = [(F.col(f"`{f.name}`"), f.dataType) for f in schema.fields]
+    return [c if ordered(kind) else F.to_json(F.struct(c.alias("v"))) for c, kind in columns]
+
+
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row per text, all columns kept.
 
-    Of rows that repeat id and text but differ elsewhere, the smallest one (comparing all columns in order) stays.
+    Of rows that repeat id and text but differ elsewhere, the smallest one (comparing all columns in order, maps by their JSON) stays.
     """
     classes = pinned(exact_classes(docs, id_col, text_col))
     gone = classes.filter(~F.col("doc_id").eqNullSafe(F.col("keep_id"))).select("doc_id", "text_sha256").distinct()
@@ -82,7 +95,7 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         return left
     once = small_side(again.toDF("__d0", "__d1"))
     row = F.struct(*[left[f"`{c}`"] for c in left.columns])
-    marked = left.select(row.alias("__row"), keys[0].alias("__k0"), keys[1].alias("__k1"))
+    marked = left.select(row.alias("__row"), F.struct(*sortable(left.schema)).alias("__order"), keys[0].alias("__k0"), keys[1].alias("__k1"))
     match = same_key([F.col("__k0"), F.col("__k1")], [F.col("__d0"), F.col("__d1")])
-    firsts = marked.join(once, match, "left_semi").groupBy("__k0", "__k1").agg(F.min("__row").alias("__row")).select("__row.*")
+    firsts = marked.join(once, match, "left_semi").groupBy("__k0", "__k1").agg(F.min_by("__row", "__order").alias("__row")).select("__row.*")
     return without(left, keys, again).unionByName(firsts)
