@@ -127,6 +127,34 @@ def test_distance():
         assert index.distance(0, index.symbols(text).tolist())[0] == plain_distance(item, text)
 
 
+def test_bounds_lose_nothing():
+    """The starts that the bounds leave out hold no match: with and without them the same items are found in the same texts."""
+    rng, numbers = random.Random(6), np.random.default_rng(6)
+    words = [f"w{i}" for i in range(60)]
+    items = [[rng.choice(words) for _ in range(rng.choice((8, 9, 13, 20, 25, 26, 40, 75)))] for _ in range(60)]
+    bounded = decontaminate.Index(list(enumerate(items)), 0.8, 24)
+    unbounded = decontaminate.Index(list(enumerate(items)), 0.8, 24)
+    unbounded.least = {size: {} for size in unbounded.sizes}
+    assert any(4 in least for least in bounded.least.values())
+    starts = [0, 0]
+    for i, item in enumerate(items):
+        place = decontaminate.PLACES[i % len(decontaminate.PLACES)]
+        part = decontaminate.edited(numbers, bounded.symbols(item), decontaminate.allowed(len(item)), place, 62)
+        x = np.array([int(numbers.integers(2, 62)) for _ in range(30)] + part + [int(numbers.integers(2, 62)) for _ in range(30)] + [decontaminate.PAD] * 200)
+        found = []
+        for k, index in enumerate((bounded, unbounded)):
+            begins, segment = index.candidates(x)
+            starts[k] += len(begins)
+            close = set()
+            for c in set(segment.tolist()):
+                item_of = int(index.item_of[c])
+                if index.distance(item_of, x.tolist())[0] <= decontaminate.allowed(len(items[item_of])):
+                    close.add(item_of)
+            found.append(close)
+        assert found[0] == found[1]
+    assert starts[0] < starts[1]
+
+
 def test_blocks_of_the_benchmark(spark, docs, monkeypatch):
     """Several blocks find what one does, whatever the table of random bits."""
     benchmark = spark.read.parquet(f"{SF}/benchmark.parquet")

@@ -19,9 +19,11 @@ Items of fewer than ``MIN_WORDS`` words may differ by one word at most. They are
 without a miss by hashes: of the whole window, and of windows and items without one
 of their words.
 
-Bound. A part within k edits of an item of n words shares at least n - 1 - 2k
-word pairs with it. Starts whose surroundings hold fewer pairs known from any
-item cannot match and are not embedded. This loses nothing.
+Bounds. A part within k edits of an item of n words shares at least n - 1 - 2k
+word pairs with it, n - 2 - 3k runs of three and n - 3 - 4k of four words. Starts
+whose surroundings hold fewer runs known from any item cannot match and are not
+embedded. This loses nothing. Pairs settle most with a small benchmark, runs of
+four words with a large one, whose items together know most of a language's pairs.
 
 The benchmark is worked through in blocks of at most ``BLOCK_WORDS`` words, so
 what is sent to the executors has a bounded size whatever the benchmark's. Each
@@ -59,6 +61,8 @@ BLOCK_WORDS = 200_000
 # Size of the table of random bits: 16 MB at most. Later steps use the bits of earlier ones again.
 CLASSES, STEPS = 1024, 2048
 PAIR_SLOTS = 1 << 22
+# Lengths of the runs that are counted.
+RUNS = (2, 3, 4)
 SAMPLED = 3
 MAX_REPEATS = 64
 # Longer items are cut: the further a walk goes, the more edits it has to get over.
@@ -235,9 +239,10 @@ class Index:
         self.sizes = sizes([c[2] for c in cut])
         self.scale = len(self.vocabulary) + 2
         # A table of hashes instead of the pairs: what hits it by chance is embedded for nothing, but nothing is missed.
-        self.pairs = np.zeros(PAIR_SLOTS, bool)
-        for x in self.items:
-            self.pairs[self.slots(x)] = True
+        self.known = {q: np.zeros(PAIR_SLOTS, bool) for q in RUNS}
+        for q, table in self.known.items():
+            for x in self.items:
+                table[self.slots(x, q)] = True
         # Of short items, for each length: sorted hashes of the whole and, if an edit is allowed, of what is left without a word.
         self.short: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for n in sorted({len(self.items[i]) for i in short}):
@@ -256,12 +261,17 @@ class Index:
             owners = np.repeat(own, repeats)
             order = np.argsort(keys, kind="stable")
             self.keys[size], self.owners[size] = keys[order], owners[order]
-            self.least[size] = max(1, min(cut[c][2] - 1 - 2 * cut[c][3] for c in own))
+            shared = {q: min(cut[c][2] - (q - 1) - q * cut[c][3] for c in own) for q in RUNS}
+            self.least[size] = {q: max(int(q == 2), n) for q, n in shared.items() if q == 2 or n > 0}
             self.reach[size] = max(cut[c][2] + cut[c][3] for c in own)
         self.masks: dict[int, dict[int, int]] = {}
 
-    def slots(self, x: np.ndarray) -> np.ndarray:
-        codes = (x[:-1] * self.scale + x[1:]).astype(np.uint64)
+    def slots(self, x: np.ndarray, q: int) -> np.ndarray:
+        """The place of each run of ``q`` words in the table of known ones."""
+        n = max(len(x) - q + 1, 0)
+        codes = x[:n].astype(np.uint64)
+        for j in range(1, q):
+            codes = mixed(codes) * np.uint64(self.scale) + x[j : j + n].astype(np.uint64)
         return (mixed(codes) & np.uint64(PAIR_SLOTS - 1)).astype(np.int64)
 
     def symbols(self, words: list[str]) -> np.ndarray:
@@ -269,12 +279,21 @@ class Index:
 
     def candidates(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(start, segment) pairs whose keys meet; ``x`` holds documents with padding between them."""
-        known = np.concatenate(([0], np.cumsum(self.pairs[self.slots(x)])))
+        # Known runs before each place.
+        before = {q: np.concatenate(([0], np.cumsum(table[self.slots(x, q)]))) for q, table in self.known.items()}
+
+        def within(q: int, starts: np.ndarray, words: int) -> np.ndarray:
+            """Known runs of ``q`` words among the ``words`` words from each start."""
+            last = len(before[q]) - 1
+            return before[q][np.minimum(starts + max(words - q + 1, 0), last)] - before[q][np.minimum(starts, last)]
+
         begins, found = [], []
+        # A match may begin with words that no item has.
+        everywhere = np.flatnonzero(x != PAD)
         for size in self.sizes:
-            far = np.minimum(np.arange(len(x)) + self.reach[size] - 1, len(known) - 1)
-            # A match may begin with words that no item has.
-            starts = np.flatnonzero((x != PAD) & (known[far] - known[np.minimum(np.arange(len(x)), len(known) - 1)] >= self.least[size]))
+            starts = everywhere
+            for q in sorted(self.least[size], reverse=True):
+                starts = starts[within(q, starts, self.reach[size]) >= self.least[size][q]]
             for at in range(0, len(starts), STARTS_AT_ONCE):
                 part = starts[at : at + STARTS_AT_ONCE]
                 keys = self.walk.keys(x, part, size)
@@ -285,8 +304,7 @@ class Index:
             k = allowed(n, self.similarity)
             # (words of a window, the one that is left out): as the item, with a word replaced, dropped or added.
             probes = [(n, -1), *([(n, p) for p in range(n)] + [(n - 1, -1)] + [(n + 1, p) for p in range(1, n)] if k else [])]
-            far = np.minimum(np.arange(len(x)) + n + k - 1, len(known) - 1)
-            starts = np.flatnonzero((x != PAD) & (known[far] - known[np.minimum(np.arange(len(x)), len(known) - 1)] >= n - 1 - 2 * k))
+            starts = everywhere[within(2, everywhere, n + k) >= n - 1 - 2 * k]
             for length, p in probes:
                 part = starts[starts <= len(x) - length]
                 row, own = hits(keys, owners, window_hashes(x, length, p)[part])
