@@ -87,8 +87,7 @@ def test_buckets(spark, docs, tmp_path):
 def test_token_counts(docs, odd, empty):
     p = sentencepiece.SentencePieceProcessor(model_file=PIECES)
     for df in (docs, odd, empty):
-        got = sorted((tuple(r) for r in token_counts.count_tokens(df).collect()), key=str) if False else sorted(
-            (tuple(r) for r in token_counts.count_tokens(df, PIECES).collect()), key=str)
+        got = sorted((tuple(r) for r in token_counts.count_tokens(df, PIECES).collect()), key=str)
         want = []
         for r in df.collect():
             n = len(p.encode(r["text"] or ""))
