@@ -94,10 +94,11 @@ def history_between(
         inner, edges = _nodes(F.col("__first"), F.col("__last") + 1, levels), F.array().cast("array<bigint>")
     spans = spans.withColumns({"__inner": F.when(real, inner), "__edges": F.when(real, edges)})
 
-    at = spans.select(*id, "__key", F.explode("__inner").alias("__n")).select(*id, "__key", F.col("__n.level").alias("level"), F.col("__n.node").alias("node"))
+    # An inner explode would first be filtered by its size, with the whole expression once more for every row; the joins drop the nulls.
+    at = spans.select(*id, "__key", F.explode_outer("__inner").alias("__n")).select(*id, "__key", F.col("__n.level").alias("level"), F.col("__n.node").alias("node"))
     parts = [at.join(summed, ["__key", "level", "node"]).select(*id, *states)]
     if width > 1:
-        cut = spans.select(*id, F.col("__key").alias("__k"), "__from", "__to", F.explode("__edges").alias("__e"))
+        cut = spans.select(*id, F.col("__key").alias("__k"), "__from", "__to", F.explode_outer("__edges").alias("__e"))
         inside = (F.col("__k") == F.col("__key")) & (F.col("__e") == F.col("__b")) & (F.col("__t") >= F.col("__from")) & (F.col("__t") < F.col("__to"))
         near = cut.join(known, inside)
         single = {"n": F.when(F.col("__v").isNotNull(), F.lit(1)).otherwise(F.lit(0)).cast("bigint"), "s": F.col("__v"), "q": F.col("__v") * F.col("__v"), "high": F.col("__v"), "low": F.col("__v")}
