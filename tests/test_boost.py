@@ -5,6 +5,7 @@ import random
 from dataclasses import replace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -92,6 +93,35 @@ def test_equals_plain_trees(spark, rows):
         assert boost.added(np.array(bins, np.uint8), trees) == pytest.approx(np.array(raw), abs=1e-9)
 
 
+def _batch(n=400, width=3, n_models=6):
+    rng = np.random.default_rng(2)
+    columns = {
+        "bins": [r.tobytes() for r in rng.integers(0, 9, (n, width), dtype=np.uint8)], "raw": [r.tobytes() for r in rng.normal(size=(n, n_models))],
+        "label": rng.integers(0, 2, n).astype(float), "row": rng.integers(0, 1 << 28, n), "fold": rng.integers(1, 4, n).astype(np.int32),
+    }
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns.values()], list(columns))
+
+
+def test_models_of_a_seed_draw_row_weights_once(monkeypatch):
+    """Six models of two seeds and three folds: two draws a batch, not six; and sums do not depend on the order of the rows' leaves."""
+    batch, drawn, uniform = _batch(), [], boost.uniform
+    monkeypatch.setattr(boost, "uniform", lambda row, seed, tree: drawn.append(seed) or uniform(row, seed, tree))
+    models = {m: Model(replace(FAST, seed=1 + m % 2), held_out=1 + m // 2) for m in range(6)}
+    pending = {m: boost.Trees([[0, 1]], [[2, 5]], [np.array([0.1, -0.2, 0.3, -0.4])]) for m in models}
+    found = []
+    for near in (1, 1 << 20):
+        monkeypatch.setattr(boost, "NEAR_SUMS", near, raising=False)
+        run = boost._level_sums(models, pending, {m: ([m % 3, 1], [4, 3]) for m in models}, 1, 3, 9, 6)
+        found.append([b.column("sums").to_pylist() for b in run(iter([batch.slice(0, 150), batch.slice(150)]))])
+    assert sorted(drawn) == [1] * 4 + [2] * 4 and found[0] == found[1] and len(found[0]) == 6
+
+
+def test_matrix_of_a_slice():
+    rows = [bytes([i, i + 1]) for i in range(10)]
+    assert boost.matrix(pa.array(rows).slice(3, 4), "u1", 2).tolist() == [list(r) for r in rows[3:7]]
+    assert boost.matrix(pa.array([], pa.binary()), "u1", 2).shape == (0, 2)
+
+
 def test_passes_do_not_grow_with_models(spark, rows, monkeypatch):
     binning = boost.learn_bins(rows, ["x", "noise"], 15)
     binned = boost.train_rows(binning, rows, "target", F.col("id"), "p").cache()
