@@ -127,3 +127,13 @@ def test_plan_queue(spark, rows):
     assert T.plan_runner(ledger, load, FAST) == 2
     assert sorted((r.plan_id, r.train_periods) for r in ledger.experiments().collect()) == [(1, "201801, 201802"), (2, "201803")]
     assert T.plan_runner(ledger, load, FAST) == 0 and ledger.next_plan() is None
+
+
+def test_node_ids_are_not_kept(spark):
+    """Kept node ids give the same trees, for a stored table of them at each level."""
+    estimator = learn.LearnerParams(iterations=2, depth=3, border_count=8).estimator("target")
+    assert not estimator.getCacheNodeIds()
+    rows = spark.range(200).selectExpr("id % 7 AS a", "id % 11 AS b", "CAST((id * 37) % 5 < 2 AS int) AS target")
+    vectors = learn.prepare(rows, ["a", "b"]).apply(rows, "target")
+    trees = [estimator.setCacheNodeIds(kept).fit(vectors).toDebugString.split("\n", 1)[1] for kept in (False, True)]
+    assert trees[0] == trees[1]
