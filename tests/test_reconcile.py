@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from tidepanel.catalog import relations
 from tidepanel.operators import reconcile
 
 SCHEMA = "p int, k bigint, a string, b double, c string"
@@ -60,3 +61,42 @@ def test_rows_of_equal_buckets_stay_where_they_are(spark, rows):
     assert "Join" not in plan and plan.count("Aggregate") == 1
     assert reconcile.signatures(df, df.columns, "p", 8).count() <= 6 * 8
     assert df.select(reconcile.row_hash(["a", "c"])).where(F.col("a").isNull() | F.col("c").isNull()).distinct().count() > 2
+
+
+def physical(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_groups_of_tables_spread_alike_do_not_pile_up_in_one_task(spark):
+    """Both tables come out of a shuffle by one of their columns; their rows are shuffled once more before they are counted."""
+    made = spark.range(1000).groupBy((F.col("id") % 100).alias("k")).agg(F.count(F.lit(1)).alias("n"), F.max(F.when(F.col("id") > 500, 1)).alias("b"))
+    other = made.where("k < 60").unionByName(made.where("k >= 90").withColumn("n", F.lit(-1).cast("bigint")))
+    balance = reconcile.row_balance(made, other)
+    above, union, _ = physical(balance).partition("Union")
+    assert union and "Exchange" in above
+    assert balance.columns == ["k", "n", "b", "n_left", "n_right"]
+    got = {(r.k, r.n): (r.n_left, r.n_right) for r in balance.collect()}
+    assert got == {(k, 10): (1, int(k < 60)) for k in range(100)} | {(k, -1): (0, 1) for k in range(90, 100)}
+
+
+ORDERS = [
+    (1, "1995-01-01", 350_000.0), (1, "1995-01-20", 400_000.0), (1, "1995-02-01", 400_000.0), (2, "1995-01-01", 400_000.01), (2, "1995-02-01", 600_000.0),
+    (2, "1995-03-01", 600_000.01), (3, "1995-01-01", 700_000.0), (3, "1995-02-01", 700_000.01), (4, "1995-01-01", None), (None, "1995-01-01", 1.0),
+    (None, "1995-01-01", 2.0), (5, None, 5.0), (5, None, 800_000.0),
+]
+
+
+@pytest.fixture()
+def orders(spark, tmp_path):
+    made = spark.createDataFrame(ORDERS, "o_custkey bigint, d string, o_totalprice double")
+    made.select("o_custkey", F.col("d").cast("timestamp_ntz").alias("o_orderdate"), "o_totalprice").write.parquet(str(tmp_path / "orders.parquet"))
+    return str(tmp_path)
+
+
+def test_the_second_version_is_made_in_one_pass(spark, orders):
+    left, right = relations._two_versions(spark, orders)
+    once, again = left.where("m <= 40000000").unionByName(left.where("m > 60000000")), left.where("m > 70000000").withColumn("t", F.lit(99))
+    told = lambda df: sorted(map(repr, df.collect()))
+    assert right.columns == left.columns == ["k", "p", "t", "m"] and len(told(right)) == 10
+    assert told(right) == told(once.unionByName(again))
+    assert "Union" not in physical(right)

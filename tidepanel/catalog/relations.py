@@ -22,8 +22,10 @@ from tidepanel.session import pinned
 def _two_versions(spark, sf):
     """The sparse panel, and a second version of it in which large months were booked again with other counts."""
     left = panel_c(spark, sf).select("k", "p", F.nullif("t", F.lit(1)).alias("t"), "m")
-    right = left.where(F.col("m") <= 40_000_000).unionByName(left.where(F.col("m") > 60_000_000))
-    return left, right.unionByName(left.where(F.col("m") > 70_000_000).withColumn("t", F.lit(99)))
+    again, kept = F.col("m") > 70_000_000, (F.col("m") <= 40_000_000) | (F.col("m") > 60_000_000)
+    right = left.select("k", "p", "t", "m", F.explode(F.array(F.lit(False), F.lit(True))).alias("again"))
+    right = right.where(F.when(F.col("again"), again).otherwise(kept))
+    return left, right.select("k", "p", F.when(F.col("again"), F.lit(99)).otherwise(F.col("t")).alias("t"), "m")
 
 
 TWO_VERSIONS = PANEL_C + """,

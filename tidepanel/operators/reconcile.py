@@ -3,7 +3,10 @@
 Equal rows are counted by grouping both tables together over all common
 columns. Grouping treats nulls as equal, merges copies before the shuffle, and
 spreads rows by their whole content, so neither nulls nor repeated rows can
-gather in one task as they would in an anti join.
+gather in one task as they would in an anti join. A row is grouped as one value:
+grouped by single columns, tables that are already spread by some of them would
+not be shuffled again, and one task would hold the groups of both tables and of
+all that made them at once.
 """
 
 from __future__ import annotations
@@ -23,12 +26,9 @@ def row_balance(left: DataFrame, right: DataFrame, columns: Sequence[str] | None
     def tagged(df: DataFrame, l: int, r: int) -> DataFrame:
         return df.select(*common, F.lit(l).cast("bigint").alias("__l"), F.lit(r).cast("bigint").alias("__r"))
 
-    return (
-        tagged(left, 1, 0)
-        .unionByName(tagged(right, 0, 1))
-        .groupBy(*common)
-        .agg(F.sum("__l").alias("n_left"), F.sum("__r").alias("n_right"))
-    )
+    both = tagged(left, 1, 0).unionByName(tagged(right, 0, 1))
+    counts = both.groupBy(F.struct(*common).alias("__row")).agg(F.sum("__l").alias("n_left"), F.sum("__r").alias("n_right"))
+    return counts.select("__row.*", "n_left", "n_right")
 
 
 def rows_only_in_left(left: DataFrame, right: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
