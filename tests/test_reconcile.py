@@ -100,3 +100,11 @@ def test_the_second_version_is_made_in_one_pass(spark, orders):
     assert right.columns == left.columns == ["k", "p", "t", "m"] and len(told(right)) == 10
     assert told(right) == told(once.unionByName(again))
     assert "Union" not in physical(right)
+
+
+def test_the_panel_of_both_versions_is_made_once(spark, orders):
+    """The tasks that count rows read a written panel and hold no groups of the panel besides their own."""
+    left, right = relations._two_versions(spark, orders)
+    plan = physical(reconcile.row_balance(left, right))
+    assert "FileScan" not in plan and plan.count("HashAggregate") == 2
+    assert left.count() == 10

@@ -20,8 +20,11 @@ from tidepanel.session import pinned
 
 
 def _two_versions(spark, sf):
-    """The sparse panel, and a second version of it in which large months were booked again with other counts."""
-    left = panel_c(spark, sf).select("k", "p", F.nullif("t", F.lit(1)).alias("t"), "m")
+    """The sparse panel, and a second version of it in which large months were booked again with other counts.
+
+    The panel is written once, as both versions are read from it, more than once by some queries.
+    """
+    left = pinned(panel_c(spark, sf).select("k", "p", F.nullif("t", F.lit(1)).alias("t"), "m"))
     again, kept = F.col("m") > 70_000_000, (F.col("m") <= 40_000_000) | (F.col("m") > 60_000_000)
     right = left.select("k", "p", "t", "m", F.explode(F.array(F.lit(False), F.lit(True))).alias("again"))
     right = right.where(F.when(F.col("again"), again).otherwise(kept))
