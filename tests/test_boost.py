@@ -246,3 +246,22 @@ def test_sweep_grows_all_points_at_once(task):
     assert all(0 < r["objective"] <= 1 for r in free)
     with pytest.raises(ValueError, match="border_count"):
         boosting.param_sweep(task, Box({"border_count": (8, 64)}), trials=1)
+
+
+def test_registered_sweep_is_of_the_whole_box(spark, monkeypatch):
+    from tidepanel.catalog import learning
+
+    trained = []
+
+    def train(rows, binning, models):
+        trained.extend(m.params for m in models)
+        raise InterruptedError
+
+    monkeypatch.setattr(boosting, "train_models", train)
+    with pytest.raises(InterruptedError):
+        learning.param_sweep_(spark, "/root/testdata/sf0.001")
+    assert len(trained) == 200
+    for name in ("depth", "iterations"):
+        low, high = boosting.CUTOFF_BOX.bounds[name]
+        found = [getattr(p, name) for p in trained]
+        assert low <= min(found) < low + 0.1 * (high - low) + 1 and high - 0.1 * (high - low) - 1 < max(found) <= high
