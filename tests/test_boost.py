@@ -265,3 +265,50 @@ def test_registered_sweep_is_of_the_whole_box(spark, monkeypatch):
         low, high = boosting.CUTOFF_BOX.bounds[name]
         found = [getattr(p, name) for p in trained]
         assert low <= min(found) < low + 0.1 * (high - low) + 1 and high - 0.1 * (high - low) - 1 < max(found) <= high
+
+
+def test_smaller_sides_give_the_same_trees(spark, rows, monkeypatch):
+    """The sums of a split leaf's heavier side are those before it without the lighter side's, for unlike depths, folds and turns too."""
+    binning = boost.learn_bins(rows, ["x", "noise", "z"], 15)
+    binned = boost.train_rows(binning, rows, "target", F.col("id"), "p").cache()
+    models = [Model(replace(FAST, seed=s, depth=d, random_strength=1.0), held_out=h) for s, d, h in ((1, 4, None), (2, 1, 201801), (3, 3, 201802), (4, 5, None))]
+    looked_at, bincount = [], np.bincount
+    whole = boost.train_models(binned, binning, models)
+    monkeypatch.setattr(boost, "HALVED_SUMS", 0)
+    monkeypatch.setattr(boost, "TASK_BYTES", 20_000)
+    halved = boost.train_models(binned.repartition(5), binning, models)
+    for a, b in zip(whole.trees, halved.trees):
+        assert a.features == b.features and a.bins == b.bins and all((x == y).all() for x, y in zip(a.values, b.values))
+    monkeypatch.setattr(np, "bincount", lambda cell, *rest: looked_at.append(len(cell)) or bincount(cell, *rest))
+    sides = np.array([1], np.uint8)
+    run = boost._level_sums({0: Model(FAST)}, {0: boost.Trees([], [], [])}, {0: ([0], [4])}, 0, 3, 9, 6, {0: sides})
+    batch = _batch()
+    list(run(iter([batch])))
+    assert looked_at == [int((boost.bins_matrix(batch.column("bins"), 3)[:, 0] >= 4).sum())] * 6
+
+
+def test_training_reads_blocks(rows, monkeypatch):
+    """A level reads a row per block, and writes no scores of shallow trees."""
+    binning, read, written = boost.learn_bins(rows, ["x", "z"], 7), [], []
+    binned = boost.train_rows(binning, rows, "target", F.col("id")).coalesce(2)
+    pinned = boost.pinned
+    monkeypatch.setattr(boost, "pinned", lambda df: written.append(pinned(df)) or written[-1])
+    monkeypatch.setattr(boost, "WRITE_EVERY", 1)
+    boost.train_models(binned, binning, [Model(replace(FAST, depth=2))])
+    read.append([df.count() for df in written])
+    written.clear()
+    boost.train_models(binned, binning, [Model(replace(FAST, depth=4))])
+    read.append([df.count() for df in written])
+    assert read == [[2], [2] * (1 + FAST.iterations)]
+
+
+def test_joined_trees_add_the_same():
+    rng = np.random.default_rng(3)
+    bins = boost.by_feature(rng.integers(0, 9, (200, 3), dtype=np.uint8))
+    split = lambda high, n: [int(v) for v in rng.integers(0 if high == 3 else 1, high, n)]
+    depths = (2, 3, 3, 1, 9, 4, 4, 2, 0)
+    trees = boost.Trees([split(3, d) for d in depths], [split(9, d) for d in depths], [rng.normal(size=1 << d) for d in depths])
+    joined = boost.joined(trees)
+    assert [len(f) for f in joined.features] == [8, 1, 9, 8, 2] and [len(f) for f in trees.features] == list(depths)
+    want = sum(v[[sum(int(row[f] >= t) << k for k, (f, t) in enumerate(zip(fs, ts))) for row in bins]] for fs, ts, v in zip(*trees))
+    assert boost.added(bins, joined) == pytest.approx(want) and boost.added(bins, trees) == pytest.approx(want)
